@@ -52,12 +52,11 @@ def rules_together(spark, sf):
 
 
 def _register_downsample(suffix: str, width: int) -> None:
-    @query(f"downsample_{suffix[1:]}", f"""WITH {T.METRICS_SQL}
-      SELECT name || '{suffix}' AS name, labels_key, avg(value) AS value, (ts_ms // {width}) * {width} AS ts_ms
-      FROM m WHERE ts_ms BETWEEN {T.AS_OF - 30 * T.DAY} AND {T.AS_OF}
-      GROUP BY ALL HAVING (ts_ms // {width}) * {width} < ({T.AS_OF} // {width}) * {width}""".replace(
-        "GROUP BY ALL", f"GROUP BY name, labels_key, (ts_ms // {width}) * {width}").replace(
-        f"HAVING (ts_ms // {width}) * {width} <", f"HAVING any_value((ts_ms // {width}) * {width}) <"))
+    @query(f"downsample_{suffix[1:]}", f"""WITH {T.METRICS_SQL}, d AS (
+        SELECT name, labels_key, (ts_ms // {width}) * {width} AS bucket, value FROM m
+        WHERE ts_ms BETWEEN {T.AS_OF - 30 * T.DAY} AND {T.AS_OF})
+      SELECT name || '{suffix}' AS name, labels_key, avg(value) AS value, bucket AS ts_ms
+      FROM d WHERE bucket < ({T.AS_OF} // {width}) * {width} GROUP BY name, labels_key, bucket""")
     def run(spark, sf):
         m = T.metrics(spark, sf, T.AS_OF - 30 * T.DAY, T.AS_OF)
         out = RULES.downsample(m, suffix, T.AS_OF, raw_window_ms=30 * T.DAY, width_ms=width)
