@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     from obsframe.plans import (  # noqa: F401
-        alerting, governance, logs_traces, range_queries, rule_queries, statistics, stream_queries, text_sources)
+        range_queries, rule_queries, statistics, logs_traces, alerting, governance, text_sources, stream_queries)
