@@ -115,11 +115,10 @@ def correlate(spark, sf):
 
 
 @query("correlation_points", f"""WITH {PAIRS_SQL}
-  SELECT bucket, round(x, 2) AS x, round(y, 2) AS y FROM pairs WHERE metric = 'event_view'""")
+  SELECT bucket, round(x, 4) AS x, round(y, 4) AS y FROM pairs WHERE metric = 'event_view'""")
 def correlation_points(spark, sf):
     m = T.metrics(spark, sf, T.AS_OF - MONTH, T.AS_OF, ["event_click", "event_view"])
-    out = ST.aligned_buckets(m, "event_click", "event_view", T.AS_OF - MONTH, T.AS_OF, T.HOUR)
-    return out.select("bucket", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+    return ST.correlation_points(m, "event_click", "event_view", MONTH, T.AS_OF, T.HOUR)
 
 
 @query("auto_correlate", f"""WITH {PAIRS_SQL}, c AS (
@@ -150,13 +149,13 @@ def anomaly_latest(spark, sf):
     SELECT *, count(*) OVER r AS n, avg(value) OVER r AS mean, stddev_pop(value) OVER r AS sd,
            row_number() OVER (PARTITION BY name, labels_key, ts_ms ORDER BY seq DESC) AS rn FROM m
     WINDOW r AS (PARTITION BY name, labels_key ORDER BY ts_ms RANGE BETWEEN {3 * T.DAY} PRECEDING AND 1 PRECEDING))
-  SELECT name, labels_key, ts_ms, value, round(mean, 4) AS expected, round(abs(value - mean) / sd, 4) AS score,
+  SELECT name, labels_key, ts_ms, value, round(mean, 6) AS expected, round(abs(value - mean) / sd, 6) AS score,
     CASE WHEN abs(value - mean) / sd >= 5 THEN 'high' WHEN abs(value - mean) / sd >= 3.5 THEN 'medium' ELSE 'low' END AS severity
   FROM w WHERE rn = 1 AND n >= 4 AND sd >= 1e-10 AND abs(value - mean) / sd >= 3""")
 def anomaly_backfill(spark, sf):
     out = ST.anomalies_backfill(T.metrics(spark, sf), 3 * T.DAY)
-    return out.select("name", "labels_key", "ts_ms", "value", F.round("expected", 4).alias("expected"),
-                      F.round("score", 4).alias("score"), "severity")
+    return out.select("name", "labels_key", "ts_ms", "value", F.round("expected", 6).alias("expected"),
+                      F.round("score", 6).alias("score"), "severity")
 
 
 @query("change_points", f"""WITH {T.METRICS_SQL}, p AS (

@@ -100,8 +100,8 @@ def stream_fan_out(spark, sf):
 def stream_anomalies(spark, sf):
     out, table = scratch(spark, "anomalies"), scratch(spark, "metrics")
     run_batches(T.metrics_of(event_stream(spark, sf)), PIPE.anomaly_batches(table, out, 3 * T.DAY))
-    return spark.read.parquet(out).select("name", "labels_key", "ts_ms", "value", F.round("expected", 4).alias("expected"),
-                                          F.round("score", 4).alias("score"), "severity")
+    return spark.read.parquet(out).select("name", "labels_key", "ts_ms", "value", F.round("expected", 6).alias("expected"),
+                                          F.round("score", 6).alias("score"), "severity")
 
 
 LIVE = ["event_click", "event_view", "event_error", "event_signup"]
