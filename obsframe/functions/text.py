@@ -1,13 +1,24 @@
-"""Numbers in text."""
+"""Text helpers: parsing once, numbers in text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The number syntax accepted in text formats.
 NUMBER = r"^(?i:[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?|[+-]?(inf|infinity)|nan)$"
 
 
+def parse_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are costly to compute and used several times.
+
+    Filters and projections would copy a parse expression into every place that uses it;
+    they are not moved through a generator, so a one-element explode computes it once.
+    """
+    parsed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    rows = df.select(*[c for c in df.columns if c not in columns], F.explode(F.array(parsed)).alias("_once"))
+    return rows.select("*", *[F.col(f"_once.{n}").alias(n) for n in columns]).drop("_once")
+
+
 def number(text: Column) -> Column:
     """Text to double; NULL unless it is a plain number, an infinity or NaN (no `1d`, `1f`)."""
     return F.when(text.rlike(NUMBER), F.regexp_replace(text, r"^\+", "").try_cast("double"))

@@ -62,21 +62,26 @@ def tick_values(metrics: DataFrame, rules: DataFrame, start_ms: int, end_ms: int
     k_hi = F.floor((F.col("ts_ms") + F.col("range_ms")) / F.lit(step_ms)).cast("long")
     rows = (rows.withColumn("k_lo", k_lo).withColumn("k_hi", F.when(instant, k_lo).otherwise(k_hi))
             .filter(instant | ((F.col("k_hi") >= k_first) & (F.col("k_lo") <= k_last) & (F.col("k_lo") <= F.col("k_hi")))))
-    at = F.struct("ts_ms", "seq")
+    at = F.struct("ts_ms", "seq", "value")
     v = F.when(~F.isnan("value"), F.col("value"))
-    part = rows.groupBy("rule", "func", "range_ms", "by", "labels", "k_lo", "k_hi").agg(
+    part = rows.groupBy("rule", "labels", "k_lo", "k_hi").agg(
         F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"), F.max(v).alias("hi"), F.min(v).alias("lo"),
-        F.min(F.struct(at.alias("at"), "value")).alias("first"), F.max(F.struct(at.alias("at"), "value")).alias("last"))
+        F.min(at).alias("first"), F.max(at).alias("last"))
+    about = rules.select("rule", "func", "range_ms", "by")
+    part = part.join(about, "rule").withColumn("labels_key", L.labels_key("labels"))
+    key = F.when(F.size("by") > 0, F.array_join(F.transform(
+        "by", lambda x: F.coalesce(F.try_element_at("labels", x), F.lit(""))), "\n"))
+    part = part.withColumn("key", F.coalesce(key, F.col("labels_key"))).drop("labels", "by", "range_ms")
     # An instant value holds until the series' next value.
     series = Window.partitionBy("rule", "labels_key").orderBy("k_lo")
-    held = (part.filter(instant).withColumn("labels_key", L.labels_key("labels"))
-            .withColumn("k_hi", F.coalesce(F.lead("k_lo").over(series) - 1, F.lit(k_last))).drop("labels_key"))
+    held = part.filter(instant).withColumn("k_hi", F.coalesce(F.lead("k_lo").over(series) - 1, F.lit(k_last)))
     part = part.filter(~instant).unionByName(held).filter((F.col("k_lo") <= k_last) & (F.col("k_hi") >= k_first))
-    ticks = part.withColumn("k", F.explode(F.sequence(
+    ticks = part.drop("func").withColumn("k", F.explode(F.sequence(
         F.greatest("k_lo", F.lit(k_first)), F.least("k_hi", F.lit(k_last)))))
-    per = ticks.groupBy("rule", "func", "range_ms", "by", "labels", "k").agg(
+    per = ticks.groupBy("rule", "k", "key", "labels_key").agg(
         F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("hi").alias("hi"), F.min("lo").alias("lo"),
         F.min("first").alias("first"), F.max("last").alias("last"))
+    per = per.join(about.select("rule", "func", "range_ms"), "rule")
     func = F.col("func")
     value = (F.when(func == "avg", F.col("s") / F.col("n")).when(func == "sum", F.col("s"))
              .when(func == "count", F.col("n").cast("double"))
@@ -85,13 +90,11 @@ def tick_values(metrics: DataFrame, rules: DataFrame, start_ms: int, end_ms: int
              .when(func == "rate", F.when(F.col("n") >= 2, (F.col("last.value") - F.col("first.value"))
                                           / (F.col("range_ms") / 1000.0)))
              .otherwise(F.col("last.value")))
-    per = per.withColumn("value", value).filter(F.col("value").isNotNull())
-    key = F.when(F.size("by") > 0, F.transform("by", lambda x: F.coalesce(F.try_element_at("labels", x), F.lit(""))))
-    per = per.withColumn("labels_key", L.labels_key("labels")).withColumn(
-        "key", F.coalesce(key, F.array("labels_key")))
-    grouped = per.groupBy("rule", "func", F.size("by").alias("nby"), "key", "k").agg(
+    per = per.select("rule", "k", "key", "labels_key", value.alias("value")).filter(F.col("value").isNotNull())
+    grouped = per.groupBy("rule", "k", "key").agg(
         F.avg("value").alias("a"), F.sum("value").alias("s"), F.count(F.lit(1)).cast("double").alias("n"),
         F.max("value").alias("hi"), F.min("value").alias("lo"), F.max_by("value", "labels_key").alias("last"))
+    grouped = grouped.join(rules.select("rule", "func", F.size("by").alias("nby")), "rule")
     group_value = (F.when((F.col("nby") == 0) | func.isin("rate", "last", "instant"), F.col("last"))
                    .when(func == "avg", F.col("a")).when(func == "sum", F.col("s")).when(func == "count", F.col("n"))
                    .when(func == "max", F.col("hi")).otherwise(F.col("lo")))

@@ -201,6 +201,7 @@ def quota_admit(batches: DataFrame, limits: Mapping[str, int] = DEFAULT_QUOTAS,
 # ---- token bucket ------------------------------------------------------------------------------
 
 MAX_STATES = 100_000
+MERGE_EVERY = 16
 
 
 @dataclass(frozen=True)
@@ -228,13 +229,13 @@ def _walk(ticks: np.ndarray, counts: np.ndarray, start_tick: int, end_tick: int,
     """Run a set of start states through one chunk; returns the end states and, for one state, what each tick saw."""
     values, back = np.unique(states, return_inverse=True)
     now, seen = start_tick, []
-    for tick, count in zip(ticks.tolist(), counts.tolist()):
+    for i, (tick, count) in enumerate(zip(ticks.tolist(), counts.tolist())):
         values = np.minimum(b.full, values + b.refill * (tick - now))
         if trace:
             seen.append(int(values[0]))
         values = values - np.minimum(count, values // b.token) * b.token
         now = tick
-        if len(values) > 1:
+        if len(values) > 1 and i % MERGE_EVERY == 0:
             values, again = np.unique(values, return_inverse=True)
             back = again[back]
     values = np.minimum(b.full, values + b.refill * (end_tick - now))

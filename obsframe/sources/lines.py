@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from obsframe.functions.text import number
+from obsframe.functions.text import number, parse_once
 
 # Exposition line and label patterns, memory units in MiB.
 STRING = r'"(?:[^"\\]|\\.)*"'
@@ -56,8 +56,9 @@ def exposition(lines: DataFrame) -> DataFrame:
     text = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
     rows = lines.withColumn("line", text).filter((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
     part = lambda i: F.regexp_extract("line", LINE, i)
-    rows = rows.select("ingest_ms", "seq", part(1).alias("name"), part(2).alias("body"),
-                       number(part(3)).alias("value"), number(part(4)).alias("ts"))
+    rows = parse_once(rows, name=part(1), body=part(2), _value=part(3), _ts=part(4))
+    rows = rows.select("ingest_ms", "seq", "name", "body", number(F.col("_value")).alias("value"),
+                       number(F.col("_ts")).alias("ts"))
     rows = rows.filter((F.col("name") != "") & F.col("value").isNotNull() & F.col("body").rlike(LABEL_BODY))
     ts = F.coalesce(F.col("ts").try_cast("bigint"), F.col("ingest_ms"))
     return rows.select("name", _label_map(F.col("body")).alias("labels"), "value", ts.alias("ts_ms"), "seq")
@@ -83,7 +84,7 @@ def memory_mb(text: Column) -> Column:
 
 def containers(lines: DataFrame) -> DataFrame:
     """`name,cpu%,used / limit,status` lines as three metrics per container."""
-    rows = lines.withColumn("p", F.split(F.trim("line"), ",", 4)).filter(F.size("p") == 4)
+    rows = parse_once(lines, p=F.split(F.trim("line"), ",", 4)).filter(F.size("p") == 4)
     p = F.col("p")
     name = F.regexp_replace(F.trim(p[0]), "^/", "")
     cpu = number(F.trim(F.regexp_replace(p[1], "%$", "")))
@@ -94,6 +95,6 @@ def containers(lines: DataFrame) -> DataFrame:
 
 def gpus(lines: DataFrame) -> DataFrame:
     """`index,utilisation,memory,temperature` lines as three metrics per device."""
-    rows = lines.withColumn("p", F.split(F.trim("line"), ",")).filter(F.size("p") >= 4)
+    rows = parse_once(lines, p=F.split(F.trim("line"), ",")).filter(F.size("p") >= 4)
     values = [(n, number(F.trim(F.col("p")[i]))) for i, n in enumerate(GPU_METRICS, start=1)]
     return points(rows, F.create_map(F.lit("gpu"), F.trim(F.col("p")[0])), values)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from obsframe.functions.text import parse_once
 from obsframe.schemas import LOG_JSON, METRIC_JSON, SPAN_JSON
 
 UNKNOWN_SOURCE = "unknown"
@@ -28,8 +29,8 @@ def _items(bodies: DataFrame, schema: T.StructType, single: bool) -> DataFrame:
     if single:
         text = F.when(F.startswith(text, F.lit("{")), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
     known = F.array(*[F.lit(f.name) for f in schema.fields])
-    out = (bodies.withColumn("_raw", F.from_json(text, "array<map<string,string>>"))
-           .withColumn("_items", F.from_json(text, T.ArrayType(schema))))
+    out = parse_once(bodies, _raw=F.from_json(text, "array<map<string,string>>"),
+                     _items=F.from_json(text, T.ArrayType(schema)))
     unreadable = F.col("_raw").isNull() | F.col("_items").isNull() | F.exists("_raw", lambda r: r.isNull())
     unknown = F.exists("_raw", lambda r: F.size(F.array_except(F.map_keys(r), known)) > 0)
     numeric = [f.name for f in schema.fields if isinstance(f.dataType, (T.LongType, T.DoubleType))]

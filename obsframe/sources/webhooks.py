@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from obsframe.functions.text import parse_once
+
 # Texts of repository events and the source name of their logs.
 REPO_SOURCE = "github-webhook"
 PUSH = "[github:push] %s pushed to %s (%d commits)"
@@ -22,7 +24,7 @@ MAX_RULES = 1_000
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
-    return (rows.withColumn("_v", F.try_parse_json("body"))
+    return (parse_once(rows, _v=F.try_parse_json("body"))
             .filter(F.col("_v").isNotNull() & F.startswith(F.ltrim("body"), F.lit("{"))))
 
 
@@ -92,7 +94,7 @@ def extract(rows: DataFrame, endpoints: Mapping[str, Sequence[ExtractRule]]) ->
     for name, list_ in endpoints.items():
         rules = F.when(F.col("endpoint") == name, F.array(*[rule(r) for r in list_])).otherwise(rules)
     out = _parsed(rows).select("endpoint", "ingest_ms", "seq", "_v", F.explode(rules).alias("r"))
-    out = out.withColumn("_x", F.try_variant_get("_v", F.col("r.path"), "variant")).filter(
+    out = parse_once(out, _x=F.try_variant_get("_v", F.col("r.path"), "variant")).filter(
         F.col("_x").isNotNull() & is_number(F.col("_x")))
     found = F.transform("r.labels", lambda p: F.struct(
         p["label"].alias("key"), F.try_variant_get(F.col("_v"), p["path"], "string").alias("value")))
