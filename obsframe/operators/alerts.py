@@ -148,7 +148,7 @@ def states(ticks: DataFrame) -> DataFrame:
     late = F.col("close") & F.coalesce(F.lag("fired").over(in_order), F.lit(False))
     runs = (runs.withColumn("late", late)
             .select("rule", "_run", "fired", F.col("b").alias("_b"),
-                    F.when(F.col("late"), F.col("ta2")).otherwise(F.col("ta")).alias("_from")))
+                    F.when(F.col("late"), F.coalesce("ta2", F.col("tb") + 1)).otherwise(F.col("ta")).alias("_from")))
     t = t.join(runs, ["rule", "_run"], "left")
     held = F.col("tick_ms") - F.col("_from")
     state = (F.when(c & (held < 0), "inactive").when(c & (held >= F.col("hold_ms")), "firing").when(c, "pending")

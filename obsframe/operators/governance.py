@@ -258,7 +258,7 @@ def rate_limit(requests: DataFrame, capacity: int = BUCKET_CAPACITY, per_second:
     counted = rows.groupBy("key", "tick").agg(F.count(F.lit(1)).alias("n"))
     counted = counted.withColumn("chunk", F.floor(F.col("tick") / chunk_ticks).cast("long"))
 
-    def chunk_table(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chunk_table(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tick")
         first = int(k[1]) * chunk_ticks
         ends, _ = _walk(pdf["tick"].to_numpy(), pdf["n"].to_numpy(), first, first + chunk_ticks,
@@ -267,7 +267,7 @@ def rate_limit(requests: DataFrame, capacity: int = BUCKET_CAPACITY, per_second:
 
     tables = counted.groupBy("key", "chunk").applyInPandas(chunk_table, "key string, chunk bigint, ends array<bigint>")
 
-    def follow(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def follow(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
         state, expected, starts = b.full, None, []
         for chunk, ends in zip(pdf["chunk"].tolist(), pdf["ends"]):
@@ -279,7 +279,7 @@ def rate_limit(requests: DataFrame, capacity: int = BUCKET_CAPACITY, per_second:
 
     starts = tables.groupBy("key").applyInPandas(follow, "key string, chunk bigint, start bigint")
 
-    def replay(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def replay(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tick")
         first = int(k[1]) * chunk_ticks
         _, seen = _walk(pdf["tick"].to_numpy(), pdf["n"].to_numpy(), first, first + chunk_ticks,
