@@ -96,8 +96,9 @@ def vector_div(spark, sf):
 
 @query("vector_broadcast", f"""WITH {T.METRICS_SQL},
   a AS (SELECT labels_key, sum(value) AS v FROM m WHERE name = '{CLICK}' AND {IN_RANGE} GROUP BY labels_key),
-  b AS (SELECT sum(value) AS v FROM m WHERE name = '{BUY}' AND host = 'h1' AND region = 'r1' AND {IN_RANGE})
-  SELECT a.labels_key, a.v - (SELECT v FROM b) AS value FROM a""")
+  b AS (SELECT sum(value) AS v FROM m WHERE name = '{BUY}' AND host = 'h1' AND region = 'r1' AND {IN_RANGE}
+        HAVING count(*) > 0)
+  SELECT a.labels_key, a.v - b.v AS value FROM a JOIN b ON true""")
 def vector_broadcast(spark, sf):
     m = _m(spark, sf, (CLICK, BUY))
     one = R.range_agg(m, SEL.metric(BUY, host="h1", region="r1"), "sum", WEEK, T.AS_OF)

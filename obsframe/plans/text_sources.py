@@ -10,13 +10,16 @@ from obsframe.plans.governance import probe_results
 from obsframe.plans.registry import query
 from obsframe.sources import lines as LINES, payloads as P, sinks, snapshots as SNAP, webhooks as W
 
-I, U, V, TYPE = F.col("event_id"), F.col("user_id"), F.col("value"), F.col("event_type")
 INGEST = T.AS_OF
 EV = "epoch_us(ts) // 1000"
 
 
+def _columns():
+    return F.col("event_id"), F.col("user_id"), F.col("value"), F.col("event_type")
+
+
 def _bodies(df, body, *more):
-    return df.select(body.alias("body"), F.lit(INGEST).cast("long").alias("ingest_ms"), I.alias("seq"), *more)
+    return df.select(body.alias("body"), F.lit(INGEST).cast("long").alias("ingest_ms"), F.col("event_id").alias("seq"), *more)
 
 
 def _points(df, *more):
@@ -25,6 +28,7 @@ def _points(df, *more):
 
 def metric_bodies(spark, sf):
     ev = T.events_in(spark, sf)
+    I, U, V, TYPE = _columns()
     first = F.format_string('{"name":"%s","labels":{"host":"h%d"},"value":%s,"timestamp":%d}', TYPE, U % 10,
                             V.cast("string"), F.when(I % 10 == 2, 0).otherwise(F.col("ts_ms")))
     second = (F.when(I % 10 == 0, '{"name":"extra","value":1,"unit":"ms"}').when(I % 10 == 1, '{"name":"","value":1}')
@@ -85,6 +89,7 @@ T_SPAN = ["trace_id", "span_id", "parent_span_id", "operation_name", "service_na
   FROM events WHERE event_id % 7 NOT IN (0, 1, 2, 3)""")
 def source_exposition(spark, sf):
     ev = T.events_in(spark, sf)
+    I, U, V, TYPE = _columns()
     labels = F.when(I % 3 == 0, F.when(I % 2 == 0, "{}").otherwise("")).otherwise(
         F.concat(F.lit('{host="h'), U % 10, F.lit('", note="a\\"b}c\\\\d\\ne"}')))
     value = F.when(I % 50 == 0, "+Inf").otherwise(V.cast("string"))
@@ -103,6 +108,7 @@ def source_exposition(spark, sf):
   UNION ALL SELECT 'container_status', 'container=' || c || chr(10), CASE WHEN event_type = 'error' THEN 0 ELSE 1 END, {INGEST}, seq FROM c""")
 def source_containers(spark, sf):
     ev = T.events_in(spark, sf)
+    I, U, V, TYPE = _columns()
     unit = F.element_at(F.array(*[F.lit(x) for x in ("GiB", "MiB", "GB", "KB")]), (I % 4 + 1).cast("int"))
     memory = F.when(I % 5 == 0, "--").otherwise(F.concat(V.cast("string"), unit))
     line = F.concat(F.lit("/c"), U % 10, F.lit(","), V.cast("string"), F.lit("%,"), memory, F.lit(" / 16GiB,"),
@@ -117,6 +123,7 @@ def source_containers(spark, sf):
   UNION ALL SELECT 'gpu_temperature_celsius', 'gpu=' || (user_id % 8) || chr(10), event_id::DOUBLE, {INGEST}, event_id FROM events""")
 def source_gpus(spark, sf):
     ev = T.events_in(spark, sf)
+    I, U, V, TYPE = _columns()
     line = F.concat(U % 8, F.lit(", "), V.cast("string"), F.lit(", "), F.when(I % 6 == 0, "[N/A]").otherwise(U.cast("string")),
                     F.lit(", "), I.cast("string"))
     rows = ev.select(line.alias("line"), F.lit(INGEST).cast("long").alias("ingest_ms"), I.alias("seq"))
@@ -207,6 +214,7 @@ def source_runs(spark, sf):
     FROM events WHERE event_id % 12 <> 0)""")
 def json_generic(spark, sf):
     ev = T.events_in(spark, sf)
+    I, U, V, TYPE = _columns()
     body = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.format_string(
         ', "value": %s, "user": %d, "type": "%s", "text": "7", "ok": true, "none": null, "inner": {"user": %d}}',
         V.cast("string"), U, TYPE, U))
@@ -220,6 +228,7 @@ def json_generic(spark, sf):
   UNION ALL SELECT 'builds', 'kind=' || event_type || chr(10) || 'webhook=ci' || chr(10), value, {INGEST}, event_id FROM e WHERE hook = 'ci' AND event_type <> 'error'""")
 def json_rules(spark, sf):
     ev = T.events_in(spark, sf)
+    I, U, V, TYPE = _columns()
     user = F.when(I % 3 == 0, "").otherwise(F.format_string(', "user": {"id": %d}', U))
     amount = F.when(TYPE == "error", '"high"').otherwise(V.cast("string"))
     body = F.concat(F.lit('{"data": {"amount": '), amount, user, F.lit('}, "type": "'), TYPE, F.lit('", "list": [1]}'))
@@ -245,6 +254,7 @@ def json_rules(spark, sf):
     ELSE 'event=' || CASE WHEN event_id % 8 = 3 THEN 'unknown' ELSE 'release' END || chr(10) END AS labels_key FROM events""")
 def repository_events(spark, sf):
     ev = T.events_in(spark, sf)
+    I, U, V, TYPE = _columns()
     repo = F.format_string('"repository":{"full_name":"org/r%d"}', U % 9)
     body = (F.when(I % 4 == 0, F.format_string('{"ref":"refs/%s","pusher":{"name":"u%d"},"commits":[{"id":1},{"id":2}],%s}', TYPE, U, repo))
             .when(I % 4 == 1, F.format_string('{"action":"%s","number":%d,"pull_request":{"title":"Fix %d"},%s}', TYPE, I, U, repo))

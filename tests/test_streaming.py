@@ -81,12 +81,12 @@ def test_rate_limit_state_survives_batches(spark, tmp_path):
 
 
 def test_agents_go_offline_and_come_back(spark, tmp_path):
-    S = 1000
+    S, T0 = 1000, 1_000_000
     beats = [("a", 0), ("b", 0), ("a", 20 * S), ("b", 100 * S), ("b", 130 * S), ("a", 160 * S), ("b", 165 * S)]
-    df = spark.createDataFrame(beats, "agent string, ts_ms bigint")
-    out = drain(PROC.agent_changes(streamed(spark, df, tmp_path / "in", [10 * S, 90 * S, 120 * S, 150 * S])))
+    df = spark.createDataFrame([(k, T0 + t) for k, t in beats], "agent string, ts_ms bigint")
+    out = drain(PROC.agent_changes(streamed(spark, df, tmp_path / "in", [T0 + s * S for s in (10, 90, 120, 150)])))
     got = [(r["ts_ms"], r["status"]) for r in out.filter("agent = 'a'").orderBy("ts_ms").collect()]
-    assert got == [(0, "online"), (50 * S + 1, "offline"), (160 * S, "online")]
+    assert got == [(T0, "online"), (T0 + 50 * S + 1, "offline"), (T0 + 160 * S, "online")]
 
 
 def test_anomaly_and_change_batches(spark, points, tmp_path):
