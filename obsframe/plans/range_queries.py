@@ -171,6 +171,24 @@ def dashboard_timeseries(spark, sf):
     return SEL.timeseries(_m(spark, sf, (CLICK, BUY)), [CLICK, BUY], START, T.AS_OF)
 
 
+@query("dashboard_current", f"""WITH {T.METRICS_SQL}
+  SELECT 'max clicks{{host=' || host || ',region=' || region || '}}' AS target, {T.AS_OF} AS ts_ms, max(value) AS value
+  FROM m WHERE name = '{CLICK}' AND {IN_RANGE} GROUP BY host, region""")
+def dashboard_current(spark, sf):
+    return SEL.current_values(R.range_agg(_m(spark, sf), CLICK, "max", WEEK, T.AS_OF), "max clicks", T.AS_OF)
+
+
+@query("merged_metrics", f"""WITH {T.METRICS_SQL}
+  SELECT ts_ms, value, seq FROM m WHERE name = '{CLICK}' AND {IN_RANGE}
+  UNION ALL SELECT ts_ms, -value, seq FROM m WHERE name = '{BUY}' AND {IN_RANGE}""")
+def merged_metrics(spark, sf):
+    """Points of all series of two metrics as one sequence, the second negated."""
+    m = _m(spark, sf, (CLICK, BUY))
+    a = SEL.scan(m, CLICK, START, T.AS_OF).select("ts_ms", "value", "seq")
+    b = SEL.scan(m, BUY, START, T.AS_OF).select("ts_ms", (-F.col("value")).alias("value"), "seq")
+    return a.unionByName(b)
+
+
 @query("catalog_counts", f"""WITH {T.METRICS_SQL}
   SELECT (SELECT count(DISTINCT name) FROM m) AS metrics,
          (SELECT count(*) FROM (SELECT DISTINCT name, labels_key FROM m)) AS series,

@@ -10,6 +10,7 @@ from obsframe.functions import labels as L
 from obsframe.operators import alerts as A, rules as RULES
 from obsframe.plans import alerting, governance, statistics, tables as T  # noqa: F401
 from obsframe.plans.registry import ORACLES, query
+from obsframe.sources import payloads, sinks
 from obsframe.streaming import pipelines as PIPE, processors as PROC
 from obsframe.streaming.runner import drain, run_batches, scratch
 
@@ -104,6 +105,14 @@ def stream_anomalies(spark, sf):
                                           F.round("score", 6).alias("score"), "severity")
 
 
+@query("stream_recording", f"""WITH {T.METRICS_SQL} SELECT name, labels_key, value, ts_ms FROM m""")
+def stream_recording(spark, sf):
+    """Record a metric stream as JSON lines and read the recording back."""
+    path = scratch(spark, "recording")
+    sinks.record_stream(T.metrics_of(event_stream(spark, sf)), path, path + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _points(payloads.recording(spark, path))
+
+
 LIVE = ["event_click", "event_view", "event_error", "event_signup"]
 
 

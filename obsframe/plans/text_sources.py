@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from obsframe.functions import labels as L
+from obsframe.operators import retention as RET
+from obsframe.operators.select import scan
 from obsframe.plans import tables as T
 from obsframe.plans.governance import probe_results
 from obsframe.plans.registry import query
 from obsframe.sources import lines as LINES, payloads as P, sinks, snapshots as SNAP, webhooks as W
+from obsframe.streaming.runner import scratch
 
 INGEST = T.AS_OF
 EV = "epoch_us(ts) // 1000"
@@ -303,3 +306,25 @@ def export_exposition(spark, sf):
   || '"}},"value":' || value::BIGINT || '.0,"timestamp":' || ts_ms || '}}' AS line FROM m WHERE value < 10000000""")
 def export_recording(spark, sf):
     return sinks.recording_lines(T.metrics(spark, sf)).select(F.to_json(F.struct("*")).alias("line"))
+
+
+@query("metrics_table", f"""WITH {T.METRICS_SQL} SELECT labels_key, count(*) AS points, sum(value) AS total FROM m
+  WHERE name = 'event_click' AND ts_ms BETWEEN {T.AS_OF - 9 * T.DAY} AND {T.AS_OF - 3 * T.DAY} GROUP BY labels_key""")
+def metrics_table(spark, sf):
+    """Append to a day-partitioned table, then read one metric and a week back."""
+    path = scratch(spark, "metrics-table")
+    sinks.append_metrics(T.metrics(spark, sf), path)
+    rows = scan(sinks.read_metrics(spark, path), "event_click", T.AS_OF - 9 * T.DAY, T.AS_OF - 3 * T.DAY)
+    return rows.groupBy("labels_key").agg(F.count(F.lit(1)).alias("points"), F.sum("value").alias("total"))
+
+
+@query("retention_table", f"""WITH {T.METRICS_SQL} SELECT name, count(*) AS points, min(ts_ms) AS oldest FROM m
+  WHERE name <> 'event_error' AND ts_ms >= {T.AS_OF - 10 * T.DAY} GROUP BY name""")
+def retention_table(spark, sf):
+    """Enforce an age limit and a delete on a stored table by writing the survivors to a new one."""
+    old, new = scratch(spark, "metrics-table"), scratch(spark, "metrics-table")
+    sinks.append_metrics(T.metrics(spark, sf), old)
+    policies = [RET.Policy("raw", r"^[^:]+$", max_age_s=10 * 86_400, builtin=True)]
+    kept, _ = RET.delete_series(RET.enforce(sinks.read_metrics(spark, old), policies, T.AS_OF), "event_error")
+    sinks.replace_days(kept, new)
+    return sinks.read_metrics(spark, new).groupBy("name").agg(F.count(F.lit(1)).alias("points"), F.min("ts_ms").alias("oldest"))

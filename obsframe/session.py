@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Only when the session is created: drop checkpoint files once nothing refers to them.
+START_SETTINGS = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -21,7 +23,7 @@ def get_session(app: str = "obsframe", master: str | None = None, **conf: str) -
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    for key, value in {**START_SETTINGS, **SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
