@@ -80,26 +80,24 @@ def extract(rows: DataFrame, endpoints: Mapping[str, Sequence[ExtractRule]]) ->
     """Apply each endpoint's rules to its bodies.
 
     A missing or non-numeric path skips the rule, a missing label path leaves the label
-    out. Rules are a short configured list and travel as array literals keyed by endpoint.
+    out. Rules are a short configured list; with their paths as literals each path is parsed
+    once, and only the rules of a body's own endpoint are evaluated.
     """
     if sum(len(r) for r in endpoints.values()) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} extraction rules")
 
-    def rule(r: ExtractRule) -> Column:
-        pairs = [F.struct(F.lit(k).alias("label"), F.lit(object_path(p)).alias("path")) for k, p in r.labels.items()]
-        return F.struct(F.lit(object_path(r.path)).alias("path"), F.lit(r.metric).alias("metric"),
-                        F.array(*pairs).cast("array<struct<label:string,path:string>>").alias("labels"))
+    def rule(endpoint: str, r: ExtractRule) -> Column:
+        at = lambda path, kind: F.try_variant_get("_v", object_path(path), kind)
+        pairs = [F.struct(F.lit("webhook").alias("key"), F.lit(endpoint).alias("value"))]
+        pairs += [F.struct(F.lit(k).alias("key"), at(p, "string").alias("value")) for k, p in r.labels.items()]
+        return F.struct(F.lit(r.metric).alias("metric"), at(r.path, "variant").alias("x"), F.array(*pairs).alias("labels"))
 
-    rules = F.lit(None).cast("array<struct<path:string,metric:string,labels:array<struct<label:string,path:string>>>>")
+    rules = F.lit(None).cast("array<struct<metric:string,x:variant,labels:array<struct<key:string,value:string>>>>")
     for name, list_ in endpoints.items():
-        rules = F.when(F.col("endpoint") == name, F.array(*[rule(r) for r in list_])).otherwise(rules)
-    out = _parsed(rows).select("endpoint", "ingest_ms", "seq", "_v", F.explode(rules).alias("r"))
-    out = parse_once(out, _x=F.try_variant_get("_v", F.col("r.path"), "variant")).filter(
-        F.col("_x").isNotNull() & is_number(F.col("_x")))
-    found = F.transform("r.labels", lambda p: F.struct(
-        p["label"].alias("key"), F.try_variant_get(F.col("_v"), p["path"], "string").alias("value")))
-    labels = F.map_from_entries(F.concat(
-        F.array(F.struct(F.lit("webhook").alias("key"), F.col("endpoint").alias("value"))),
-        F.filter(found, lambda p: p["value"].isNotNull())))
+        if list_:
+            rules = F.when(F.col("endpoint") == name, F.array(*[rule(name, r) for r in list_])).otherwise(rules)
+    out = _parsed(rows).select("ingest_ms", "seq", F.explode(rules).alias("r"))
+    out = out.select("ingest_ms", "seq", "r", F.col("r.x").alias("_x")).filter(F.col("_x").isNotNull() & is_number(F.col("_x")))
+    labels = F.map_from_entries(F.filter("r.labels", lambda p: p["value"].isNotNull()))
     return out.select(F.col("r.metric").alias("name"), labels.alias("labels"),
                       F.variant_get("_x", "$", "double").alias("value"), F.col("ingest_ms").alias("ts_ms"), "seq")
