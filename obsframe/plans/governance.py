@@ -143,7 +143,7 @@ def rate_limit(spark, sf):
     rows = T.events_in(spark, sf).select(
         F.when(F.col("user_id") % 10 == 0, "").otherwise(F.concat(F.lit("key-"), F.col("user_id") % 10)).alias("key"),
         "ts_ms", F.col("event_id").alias("seq"))
-    out = G.rate_limit(rows, 3, Fraction(1, 2400), tick_ms=1000, chunk_ticks=86_400)
+    out = G.rate_limit(rows, 3, Fraction(1, 2400), tick_ms=1000, chunk_ticks=604_800)
     return out.select("key", "seq", "allowed", "remaining")
 
 
