@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from obsframe.llm import fingerprints
+from obsframe.llm import decontam, fingerprints, langid, mixing, neardup, quality, tokenfiles
 
 QUERIES = {
     "op1_winnow": fingerprints.op1_winnow,
+    "op4_token_files": tokenfiles.op4_token_files,
+    "op5_minhash": neardup.op5_minhash,
+    "op6_language": langid.op6_language,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_quality": quality.op8_quality,
+    "op9_decontaminate": decontam.op9_decontaminate,
 }
 ORACLES: dict[str, str] = {}
