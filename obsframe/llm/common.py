@@ -32,6 +32,11 @@ def upto(first: int, count: Column) -> Column:
     return F.sequence(F.lit(first), F.greatest(count, F.lit(1)) + (first - 1))
 
 
+def luck(*keys: str | Column) -> Column:
+    """A number from 0 to below 1 from a hash of the keys; null keys count as any other value."""
+    return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words of a text; an empty array for null, empty and blank texts.
 

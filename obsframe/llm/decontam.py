@@ -8,6 +8,8 @@ to one to fillers in the document. So a question is found with other numbers and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ RUN = 6                 # windows in a row: 13 tokens, or the whole item where i
 BROADCAST_ROWS = 500_000  # benchmark windows up to this are sent to every executor (16 MB), more are shuffled
 
 # Characters that are no part of a word at its ends; spelled numbers; units of measure.
-EDGES = ".,;:!?\"'()[]{}<>*%$&#|…«»“”„"
+EDGES = ".,;:!?\"'()[]{}<>*%$&#|+-−…«»“”„"
 NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven",
                 "twelve", "hundred", "thousand", "million", "billion"]
 UNITS = ["mm", "cm", "m", "km", "in", "ft", "mi", "mile", "miles", "meter", "meters", "metre", "metres", "mg", "g",
@@ -30,43 +32,37 @@ UNITS = ["mm", "cm", "m", "km", "in", "ft", "mi", "mile", "miles", "meter", "met
          "percent", "degrees", "kmh", "mph", "kb", "mb", "gb", "tb", "hz", "khz", "mhz", "ghz", "w", "kw", "v", "j"]
 
 
-def bare(word: Column) -> Column:
-    return F.btrim(word, F.lit(EDGES))
-
-
 def is_number(word: Column) -> Column:
-    """A bare word that starts with a digit (also after a sign), or a spelled number."""
-    head = F.left(F.ltrim(word, F.lit("+-−")), F.lit(1))
-    return head.between("0", "9") | F.lower(word).isin(NUMBER_WORDS)
+    """A lower-case bare word that starts with a digit, or a spelled number."""
+    return ((word >= "0") & (word < ":")) | word.isin(NUMBER_WORDS)
 
 
-def is_name(word: Column, before: Column) -> Column:
-    """A capitalised word that does not start a sentence."""
-    head = F.left(word, F.lit(1))
-    return before.isNotNull() & (F.lower(head) != head) & ~F.right(before, F.lit(1)).isin(".", "!", "?", ":")
+def template(text: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """`of(template token, lower-case bare word)` for every word.
 
+    A number starts with a digit or is spelled out; a unit follows a number; a name is capitalised and starts
+    no sentence.
+    """
+    def token(words: Column, bares: Column, x: Column, i: Column) -> Column:
+        capital = common.nth(bares, i) != x
+        starts = (i == 0) | F.right(common.nth(words, i - 1), F.lit(1)).isin(".", "!", "?", ":")
+        unit = x.isin(UNITS) & (i > 0) & is_number(F.lower(common.nth(bares, i - 1)))
+        return F.when(is_number(x), F.lit("<num>")).when(capital & ~starts, F.lit("<name>")).when(unit, F.lit("<unit>")).otherwise(x)
 
-def placeholder(words: Column, bares: Column, i: Column) -> Column:
-    """num, unit, name, or null for a literal."""
-    word, before = common.nth(bares, i), common.nth(words, i - 1)
-    unit = F.lower(word).isin(UNITS) & is_number(common.nth(bares, i - 1))
-    return (F.when(is_number(word), "num").when(F.coalesce(unit, F.lit(False)), "unit")
-            .when(F.coalesce(is_name(word, before), F.lit(False)), "name"))
+    return common.let(common.words(text), lambda w: common.let(
+        F.transform(w, lambda x: F.btrim(x, F.lit(EDGES))), lambda b: F.transform(
+            F.transform(b, F.lower), lambda x, i: of(token(w, b, x, i), x))))
 
 
 def tokens(text: Column) -> Column:
     """array<struct<token, slot>>: `token` is the template token, `slot` the filler of a placeholder (lower case)."""
-    return common.let(common.words(text), lambda w: common.let(F.transform(w, bare), lambda b: F.transform(
-        b, lambda x, i: common.let(placeholder(w, b, i), lambda kind: F.struct(
-            F.coalesce(F.concat(F.lit("<"), kind, F.lit(">")), F.lower(x)).alias("token"),
-            F.when(kind.isNotNull(), F.lower(x)).alias("slot"))))))
+    return template(text, lambda t, x: common.let(t, lambda token: F.struct(
+        token.alias("token"), F.when(token.isin("<num>", "<unit>", "<name>"), x).alias("slot"))))
 
 
 def hashed(text: Column) -> Column:
     """The hashes of the template tokens."""
-    return common.let(common.words(text), lambda w: common.let(F.transform(w, bare), lambda b: F.transform(
-        b, lambda x, i: F.xxhash64(F.coalesce(
-            F.concat(F.lit("<"), placeholder(w, b, i), F.lit(">")), F.lower(x))))))
+    return template(text, lambda t, x: F.xxhash64(t))
 
 
 def windows(hashes: Column, width: int) -> Column:

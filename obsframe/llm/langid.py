@@ -176,9 +176,9 @@ def label_batch(texts: pa.Array, model: Model, penalty: float) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(per_text), spans)
 
 
-def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Row runs of about CHUNK bytes of text (column 1)."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64)
+def chunks(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Row runs of about CHUNK bytes of text, which is in the column of that number."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
     at = np.cumsum(sizes) // CHUNK
     cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
@@ -194,9 +194,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_rows"))
-    spread = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(1 << 30))
     chosen = (labelled.join(sizes, F.col(lang).eqNullSafe(F.col("_lang")))
-              .filter(spread * F.col("_rows") < F.lit(rows) * F.lit(1 << 30)))
+              .filter(common.luck(key) * F.col("_rows") < rows))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -274,6 +273,30 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                     F.when(F.col("_all") > 0, F.col("_best.letters") / F.col("_all")).otherwise(0.0).alias("score")))
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5, penalty: float = PENALTY) -> DataFrame:
+    """The rows of `docs` whose text has letters and gives one language at least `least` of them. No shuffle.
+
+    With a model without languages there is nothing to go by, and all rows stay.
+    """
+    if not model.languages:
+        return docs
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, at):
+                spans = label_batch(batch.column(at), model, penalty)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(spans.offsets)))
+                found = spans.flatten()
+                letters = np.zeros((batch.num_rows, len(model.languages)))
+                which = np.asarray(pc.index_in(found.field("lang"), pa.array(model.languages)))
+                np.add.at(letters, (row, which), np.asarray(found.field("letters")))
+                total = letters.sum(1)
+                yield batch.filter(pa.array((total > 0) & (letters.max(1) >= least * total)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))

@@ -126,10 +126,9 @@ def sample(rows: DataFrame, targets: dict[str, DataFrame] | None = None, id_col:
     shares = calibrate(rake(cells, goal), budget).select(
         *(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "probability")
     on = [same(F.col(d), F.col(f"_{d}")) for d in DIMENSIONS]
-    luck = F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11) / F.lit(float(1 << 53))
     return (kept.join(shares, on, "left").drop(*(f"_{d}" for d in DIMENSIONS))
             .withColumn("probability", F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(1.0))
-            .withColumn("sampled", luck < F.col("probability")))
+            .withColumn("sampled", common.luck(id_col, F.lit(seed)) < F.col("probability")))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ from obsframe.llm import common
 from obsframe.llm.neardup import mix
 from obsframe.session import cut_lineage
 
-BUCKETS = 10_000
-SMOOTH = 0.5
+BUCKETS = 1 << 17
+PRIOR = 2.0            # imagined occurrences in each bucket, in target and raw alike
 TARGET_ROWS = 20_000   # expected number of labelled texts that the target model is fitted on
 SEED = 29
 
@@ -34,7 +34,7 @@ def features(text: str | None) -> np.ndarray:
 
 
 def fit(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text: str = "text", rows: int = TARGET_ROWS) -> np.ndarray:
-    """log(target / raw) of each bucket.
+    """log(target / raw) of each bucket, each count with `PRIOR` added so that rare n-grams say little.
 
     The raw model counts every document. The target model counts those named by `good` (a table of ids), of which
     about `rows` are taken by a hash of the id; that bound is why they may be broadcast. Without target or raw
@@ -42,18 +42,20 @@ def fit(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text: str = "t
     """
     total = good.count()
     few = (good.select(F.col(id_col).alias("_good")).filter("_good IS NOT NULL").distinct().filter(
-        F.pmod(F.xxhash64("_good"), F.lit(1 << 30)) * F.lit(total) < F.lit(rows) * F.lit(1 << 30)))
+        common.luck("_good") * total < rows))
     marked = (docs.select(id_col, text).join(F.broadcast(few), F.col(id_col) == F.col("_good"), "left")
               .select(text, F.col("_good").isNotNull().alias("good")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            for value, is_good in zip(batch.column(0), batch.column(1).to_pylist()):
-                n = np.bincount(features(value.as_py()), minlength=BUCKETS)
-                sums[0] += n
-                if is_good:
-                    sums[1] += n
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [features(v.as_py()) for v in part.column(0)]
+                good = [f for f, g in zip(found, part.column(1).to_pylist()) if g]
+                sums[0] += np.bincount(np.concatenate(found), minlength=BUCKETS)
+                if good:
+                    sums[1] += np.bincount(np.concatenate(good), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(sums[0]), pa.array(sums[1])], ["bucket", "raw", "target"])
 
     counted = (marked.mapInArrow(count, "bucket bigint, raw bigint, target bigint")
@@ -63,8 +65,8 @@ def fit(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text: str = "t
     sums[:, at] = [counted.column("raw").to_numpy(), counted.column("target").to_numpy()]
     if not sums[1].any():
         return np.zeros(BUCKETS)
-    shares = (sums + SMOOTH) / (sums + SMOOTH).sum(1, keepdims=True)
-    return np.log(shares[1] / shares[0])
+    expected = sums[0] * (sums[1].sum() / sums[0].sum())
+    return np.log((sums[1] + PRIOR) / (expected + PRIOR))
 
 
 def log_weights(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,7 +90,7 @@ def gumbel_top(weights: DataFrame, k: int, id_col: str = "doc_id", seed: int = S
     Equal keys are taken in ascending id. The k-th key is found from counts of order slices; only the slice it
     lies in is ranked, in one task, and slices shrink as shuffle partitions grow.
     """
-    luck = (F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
+    luck = common.luck(id_col, F.lit(seed)) + 2.0 ** -54
     keyed = cut_lineage(weights.withColumn("key", F.col("log_weight") - F.ln(-F.ln(luck))))
     at, _ = common.slices(keyed, "key")
     sliced = keyed.withColumn("_slice", at)

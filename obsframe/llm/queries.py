@@ -1,16 +1,20 @@
-"""Queries of the operators, and the SQL of those that SQL can express."""
+"""Queries of the operators. None of their methods can be put in SQL; tests hold them against brute force."""
 
 from __future__ import annotations
 
-from obsframe.llm import decontam, fingerprints, langid, mixing, neardup, quality, tokenfiles
+from obsframe.llm import (
+    decontam, fingerprints, langid, linededup, mixing, neardup, quality, repeats, surrogates, tokenfiles)
 
 QUERIES = {
     "op1_winnow": fingerprints.op1_winnow,
+    "op2_surrogates": surrogates.op2_surrogates,
+    "op3_repeats": repeats.op3_repeats,
     "op4_token_files": tokenfiles.op4_token_files,
     "op5_minhash": neardup.op5_minhash,
     "op6_language": langid.op6_language,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality": quality.op8_quality,
     "op9_decontaminate": decontam.op9_decontaminate,
+    "op10_fuzzy_lines": linededup.op10_fuzzy_lines,
 }
 ORACLES: dict[str, str] = {}

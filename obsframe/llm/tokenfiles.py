@@ -144,7 +144,7 @@ def train_dictionary(docs: DataFrame, path: str, text: str = "text", docs_bound:
     """
     total = docs.count()
     chosen = docs.select(text).filter(F.col(text).isNotNull()).filter(
-        F.pmod(F.xxhash64(text), F.lit(1 << 30)) * F.lit(total) < F.lit(docs_bound) * F.lit(1 << 30))
+        common.luck(text) * total < docs_bound)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
