@@ -212,7 +212,8 @@ def rendered(kind: Column, entity: Column, made: Column) -> Column:
     title = F.left(entity, F.length(entity) - F.length(untitled(entity)))
     bare = untitled(entity)
     name = F.concat(title, F.when(F.upper(bare) == bare, F.upper(made)).otherwise(F.initcap(made)))
-    return F.when(kind == "name", name).when(kind == "ip", made).otherwise(walk(how))
+    return (F.when(kind == "name", name).when(kind == "ip", made)
+            .when(kind == "secret", F.when(F.upper(entity) == entity, F.upper(made)).otherwise(made)).otherwise(walk(how)))
 
 
 def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY, out: str | None = None) -> DataFrame:
