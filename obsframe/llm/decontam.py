@@ -40,11 +40,11 @@ def is_number(word: Column) -> Column:
 def template(text: Column, of: Callable[[Column, Column], Column]) -> Column:
     """`of(template token, lower-case bare word)` for every word.
 
-    A number starts with a digit or is spelled out; a unit follows a number; a name is capitalised and starts
-    no sentence.
+    A number starts with a digit or is spelled out; a unit follows a number; a name is capitalised (not all in
+    capitals) and starts no sentence.
     """
     def token(words: Column, bares: Column, x: Column, i: Column) -> Column:
-        capital = common.nth(bares, i) != x
+        capital = common.let(common.nth(bares, i), lambda b: (b != x) & (b != F.upper(b)))
         starts = (i == 0) | F.right(common.nth(words, i - 1), F.lit(1)).isin(".", "!", "?", ":")
         unit = x.isin(UNITS) & (i > 0) & is_number(F.lower(common.nth(bares, i - 1)))
         return F.when(is_number(x), F.lit("<num>")).when(capital & ~starts, F.lit("<name>")).when(unit, F.lit("<unit>")).otherwise(x)
