@@ -24,9 +24,17 @@ def labels_text(labels: ColumnOrName) -> Column:
 
 
 def labels_key(labels: ColumnOrName) -> Column:
-    """Sorted `k=v` lines: the join key for a label set (a MAP cannot be joined on)."""
+    """Sorted `k=v` lines: the join key for a label set (a MAP cannot be joined on).
+
+    Backslashes, line ends and equal signs in names and values are escaped, so different sets have different keys.
+    """
+    def escaped(text):
+        for mark, code in (("\\", "\\\\"), ("\n", "\\n"), ("=", "\\e")):
+            text = F.replace(text, F.lit(mark), F.lit(code))
+        return text
+
     return F.coalesce(
-        _joined(labels, lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit("\n")), ""), F.lit(""))
+        _joined(labels, lambda e: F.concat(escaped(e["key"]), F.lit("="), escaped(e["value"]), F.lit("\n")), ""), F.lit(""))
 
 
 def series_id(name: ColumnOrName, labels: ColumnOrName) -> Column:

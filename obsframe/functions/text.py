@@ -25,8 +25,18 @@ def number(text: Column) -> Column:
 
 
 def plain_number(value: Column) -> Column:
-    """Double to decimal text without exponent or trailing zeros."""
-    decimal = value.cast("string").try_cast("decimal(38,18)").cast("string")
-    trimmed = F.regexp_replace(F.regexp_replace(decimal, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """Double to the shortest exact decimal text, without exponent or trailing zeros.
+
+    The digits are those of the double's own text; its exponent only moves the point.
+    """
+    text = F.abs(value).cast("string")
+    mantissa, exponent = F.substring_index(text, "E", 1), F.coalesce(F.try_element_at(F.split(text, "E"), F.lit(2)).try_cast("int"), F.lit(0))
+    digits = F.concat(F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1))
+    point = F.length(F.substring_index(mantissa, ".", 1)) + exponent  # digits before the point
+    padded = F.concat(F.repeat(F.lit("0"), F.greatest(1 - point, F.lit(0))), digits, F.repeat(F.lit("0"), F.greatest(point - F.length(digits), F.lit(0))))
+    whole = F.greatest(point, F.lit(1))
+    plain = F.concat(F.left(padded, whole), F.lit("."), F.substring(padded, whole + 1, F.length(padded)))
+    trimmed = F.regexp_replace(F.regexp_replace(plain, r"0+$", ""), r"\.$", "")
+    sign = F.when(value < 0, "-").otherwise("")
     return (F.when(F.isnan(value), "NaN").when(value == float("inf"), "+Inf").when(value == float("-inf"), "-Inf")
-            .otherwise(F.coalesce(trimmed, value.cast("string"))))
+            .otherwise(F.concat(sign, trimmed)))

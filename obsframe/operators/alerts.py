@@ -11,7 +11,6 @@ from obsframe.functions import labels as L, scalars as S
 
 TICK_MS = 15_000
 RULE_FUNCTIONS = ("avg", "sum", "count", "max", "min", "rate", "last", "instant")
-MAX_CHANNELS = 1_000
 
 
 @dataclass(frozen=True)
@@ -208,18 +207,19 @@ class Channel:
 def route(notifications: DataFrame, channels: Sequence[Channel], severity: str | Column = "severity") -> DataFrame:
     """Each notification once per channel that takes its severity; a channel without severities takes all.
 
-    Channels are a short configured list, so they travel as an array literal: no join.
+    Channels with severities are joined on them; each of the others gets a copy of every row.
     """
-    if len(channels) > MAX_CHANNELS:
-        raise ValueError(f"more than {MAX_CHANNELS} channels")
     wanted = F.col(severity) if isinstance(severity, str) else severity
-    table = F.array(*[
-        F.struct(F.lit(c.name).alias("channel"), F.lit(c.kind).alias("kind"),
-                 F.array(*[F.lit(s) for s in c.severities]).cast("array<string>").alias("severities"))
-        for c in channels])
-    takes = F.filter(table, lambda c: (F.size(c["severities"]) == 0) | F.array_contains(c["severities"], wanted))
-    rows = notifications.select("*", F.explode(takes).alias("_c"))
-    return rows.select("*", "_c.channel", F.col("_c.kind").alias("channel_type")).drop("_c")
+    schema = "_severity string, channel string, channel_type string"
+    spark = notifications.sparkSession
+    named = spark.createDataFrame([(s, c.name, c.kind) for c in channels for s in dict.fromkeys(c.severities)], schema)
+    out = notifications.withColumn("_wanted", wanted).join(named, F.col("_wanted") == F.col("_severity")).drop("_wanted", "_severity")
+    every = [c for c in channels if not c.severities]
+    if every:
+        table = F.array(*[F.struct(F.lit(c.name).alias("channel"), F.lit(c.kind).alias("kind")) for c in every])
+        rows = notifications.select("*", F.explode(table).alias("_c"))
+        out = out.unionByName(rows.select("*", "_c.channel", F.col("_c.kind").alias("channel_type")).drop("_c"))
+    return out
 
 
 def notifications(event_rows: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ CHANGE_NAMES = {"status": "状态", "severity": "级别", "assigned_to": "负责
 CHANGE_FORMAT = "%s：%s → %s"
 CHANGE_SEPARATOR = "；"
 FIRST_STATUS = "investigating"
-MAX_SLOTS = 1_000
 
 
 @dataclass(frozen=True)
@@ -42,20 +41,24 @@ def check_slot(slot: Slot) -> Slot:
 def on_call(ts_ms: Column, slots: Sequence[Slot], timezone: str = "UTC") -> Column:
     """Struct (user, until_ms) of the first slot that covers an instant; NULL if nobody is on call.
 
-    Slots are a short configured list and become one CASE, not a join.
+    However many slots there are, only the first for each hour of the week counts: a map of at most 168 entries.
     """
-    if len(slots) > MAX_SLOTS:
-        raise ValueError(f"more than {MAX_SLOTS} slots")
     local = F.from_utc_timestamp(F.timestamp_millis(ts_ms), timezone or "UTC")
     midnight = F.date_trunc("day", local)
-    out = F.lit(None).cast("struct<user:string,until_ms:bigint>")
-    for s in reversed([check_slot(s) for s in slots]):
-        days = [d.lower() for d in s.days]
-        covers = (F.hour(local) >= s.start_hour) & (F.hour(local) < s.end_hour) & F.lower(
-            F.date_format(local, "E")).isin(*days)
-        until = F.unix_millis(F.to_utc_timestamp(midnight + F.expr(f"INTERVAL '{s.end_hour}' HOUR"), timezone or "UTC"))
-        out = F.when(covers, F.struct(F.lit(s.user).alias("user"), until.alias("until_ms"))).otherwise(out)
-    return out
+    week: dict[str, Slot] = {}
+    for s in map(check_slot, slots):
+        for day in {d.lower() for d in s.days}:
+            for hour in range(s.start_hour, s.end_hour):
+                week.setdefault(f"{day} {hour}", s)
+    if not week:
+        return F.lit(None).cast("struct<user:string,until_ms:bigint>")
+    now = F.concat_ws(" ", F.lower(F.date_format(local, "E")), F.hour(local).cast("string"))
+    table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.struct(F.lit(x.user).alias("user"), F.lit(x.end_hour).alias("end"))
+                           for pair in week.items() for x in pair])
+    found = F.try_element_at(table, now)
+    end = F.make_dt_interval(F.lit(0), found["end"])
+    until = F.unix_millis(F.to_utc_timestamp(midnight + end, timezone or "UTC"))
+    return F.when(found.isNotNull(), F.struct(found["user"].alias("user"), until.alias("until_ms")))
 
 
 def assign_on_call(rows: DataFrame, ts_ms: str, slots: Sequence[Slot], timezone: str = "UTC") -> DataFrame:

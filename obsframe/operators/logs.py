@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SEARCH_LIMIT = 100
-
 
 def valid_pattern(spark: SparkSession, pattern: str) -> bool:
-    """Whether the engine accepts a regular expression (tried on one constant)."""
+    """Whether the engine accepts a regular expression (tried on one constant). Other errors are raised."""
     try:
         spark.range(1).select(F.lit("").rlike(pattern)).collect()
         return True
-    except Exception:
-        return False
+    except PySparkException as error:
+        if (error.getCondition() or "").startswith("INVALID_PARAMETER_VALUE.PATTERN"):
+            return False
+        raise
 
 
 def matching(logs: DataFrame, query: str = "", level: str = "", source: str = "",
@@ -42,10 +43,11 @@ def matching(logs: DataFrame, query: str = "", level: str = "", source: str = ""
 
 
 def search(logs: DataFrame, query: str = "", level: str = "", source: str = "",
-           start_ms: int = 0, end_ms: int = 0, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """Matching logs, newest first."""
+           start_ms: int = 0, end_ms: int = 0, limit: int | None = None) -> DataFrame:
+    """Matching logs, newest first; all of them unless the caller sets a limit."""
     found = matching(logs, query, level, source, start_ms, end_ms)
-    return found.orderBy(F.desc("ts_ms"), F.desc("seq")).limit(limit if limit > 0 else SEARCH_LIMIT)
+    found = found.orderBy(F.desc("ts_ms"), F.desc("seq"))
+    return found.limit(limit) if limit else found
 
 
 def recent(logs: DataFrame, n: int) -> DataFrame:

@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from obsframe.operators.ordered import previous_value, range_slices, slice_totals, top_n_per_key
 from obsframe.operators.ranges import collapse
 
-# History sizes and objective windows in minutes.
+# Window sizes of the probe status, and objective windows in minutes.
 PROBE_HISTORY = 100
 PROBE_RECENT = 20
 WINDOW_MINUTES = {"1d": 1440.0, "7d": 10080.0, "30d": 43200.0}
 DEFAULT_WINDOW = "30d"
-HISTORY_LIMITS = {"anomalies": 500, "changes": 500, "alerts": 100, "notifications": 200, "audit": 5000, "runs": 20}
 
 
 def probe_status(results: DataFrame, history: int = PROBE_HISTORY, recent: int = PROBE_RECENT) -> DataFrame:
@@ -89,10 +88,10 @@ def objective_status(objectives: DataFrame, values: DataFrame) -> DataFrame:
                       (F.col("current_sli") >= F.col("target_percent")).alias("healthy"))
 
 
-def newest(events: DataFrame, limit: int, where: Column | None = None, ties: Sequence[str] = ()) -> DataFrame:
-    """Newest-first view over an append-only event table."""
-    rows = events if where is None else events.filter(where)
-    return rows.orderBy(F.desc("ts_ms"), *ties).limit(limit)
+def newest(events: DataFrame, limit: int | None = None, where: Column | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """Newest-first view over an append-only event table; whole unless the caller sets a limit."""
+    rows = (events if where is None else events.filter(where)).orderBy(F.desc("ts_ms"), *ties)
+    return rows.limit(limit) if limit else rows
 
 
 def newest_per_key(events: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:

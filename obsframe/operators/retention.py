@@ -30,23 +30,19 @@ LOGS_PER_SOURCE = 10_000
 LOG_AGE_MS = 86_400_000
 TRACE_AGE_MS = 3_600_000
 MAX_TRACES = 1_000
-MAX_POLICIES = 1_000
 
 
 def policy_of(name: Column, policies: Sequence[Policy]) -> Column:
     """The first matching custom policy, else the first matching built-in one, as a struct; NULL if none.
 
-    Policies are a short configured list, so they become one CASE over constant
-    patterns: no join, and each pattern is compiled once.
+    One CASE over constant patterns, each compiled once; meant for distinct names, not for points.
     """
-    if len(policies) > MAX_POLICIES:
-        raise ValueError(f"more than {MAX_POLICIES} retention policies")
     ordered = [p for p in policies if not p.builtin] + [p for p in policies if p.builtin]
-    out = F.lit(None).cast("struct<policy:string,max_age_s:bigint,max_points:bigint>")
-    for p in reversed(ordered):
+    out = F.when(F.lit(False), F.lit(None).cast("struct<policy:string,max_age_s:bigint,max_points:bigint>"))
+    for p in ordered:
         this = F.struct(F.lit(p.name).alias("policy"), F.lit(p.max_age_s).cast("long").alias("max_age_s"),
                         F.lit(p.max_points).cast("long").alias("max_points"))
-        out = F.when(name.rlike(p.pattern), this).otherwise(out)
+        out = out.when(name.rlike(p.pattern), this)
     return out
 
 
@@ -59,7 +55,8 @@ def matched_policies(metrics: DataFrame, policies: Sequence[Policy]) -> DataFram
 def enforce(metrics: DataFrame, policies: Sequence[Policy], as_of: int) -> DataFrame:
     """Points that survive: young enough, then the newest `max_points` per series."""
     columns = metrics.columns
-    rows = metrics.withColumn("_p", policy_of(F.col("name"), policies))
+    named = matched_policies(metrics, policies).select(F.col("name").alias("_name"), F.struct("max_age_s", "max_points").alias("_p"))
+    rows = metrics.join(named, F.col("name").eqNullSafe(F.col("_name")), "left").drop("_name")
     age = F.coalesce(F.col("_p.max_age_s"), F.lit(0))
     rows = rows.filter((age == 0) | (F.col("ts_ms") >= F.lit(as_of) - age * 1000))
     if not any(p.max_points for p in policies):

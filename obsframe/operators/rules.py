@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from obsframe.functions import labels as L, scalars as S
 from obsframe.operators.ordered import exact_percentiles
-from obsframe.operators.ranges import PERCENTILES
+from obsframe.operators.ranges import PERCENTILES, agg_column
 
 PLAIN = ("avg", "sum", "max", "min", "count")
 # Windows a recording rule may use.
@@ -73,7 +73,7 @@ RULE_KEYS = ["rule", "output", "agg", "group_by", "key"]
 def aggregate_rules(rows: DataFrame, extra_keys: Sequence[Column | str] = ()) -> DataFrame:
     """avg, sum, max, min and count rules in one partial aggregate."""
     out = rows.groupBy(*extra_keys, *RULE_KEYS).agg(
-        F.sum("value").alias("_sum"), F.max("value").alias("_max"), F.min("value").alias("_min"),
+        F.sum("value").alias("_sum"), agg_column("max").alias("_max"), agg_column("min").alias("_min"),
         F.count(F.lit(1)).cast("double").alias("_count"))
     value = (F.when(F.col("agg") == "sum", F.col("_sum")).when(F.col("agg") == "avg", F.col("_sum") / F.col("_count"))
              .when(F.col("agg") == "max", F.col("_max")).when(F.col("agg") == "min", F.col("_min"))

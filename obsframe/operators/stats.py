@@ -27,7 +27,6 @@ ANOMALY_Z = 3.0
 CHANGE_LOOKBACK_MS = 1_800_000
 CHANGE_MIN_POINTS = 12
 CHANGE_SIGNIFICANCE = 1.5
-MAX_CHANGES = 500
 
 
 # ---- window comparison -------------------------------------------------------------------------
@@ -369,6 +368,7 @@ def change_points(metrics: DataFrame, as_of: int, lookback_ms: int = CHANGE_LOOK
                       S.round_to(F.col("_score"), 4).alias("significance"))
 
 
-def distinct_changes(changes: DataFrame, keep: int = MAX_CHANGES) -> DataFrame:
-    """Change points seen once per (metric, time), newest first."""
-    return changes.dropDuplicates(["metric", "ts_ms"]).orderBy(F.desc("ts_ms"), "metric").limit(keep)
+def distinct_changes(changes: DataFrame, keep: int | None = None) -> DataFrame:
+    """Change points seen once per (metric, time); the newest `keep` of them when the caller says so."""
+    once = changes.dropDuplicates(["metric", "ts_ms"])
+    return once.orderBy(F.desc("ts_ms"), "metric").limit(keep) if keep else once

@@ -14,7 +14,6 @@ SERVICE_KEYWORDS = {
     "external": ["external", "third-party", "partner", "vendor"],
 }
 DEFAULT_SERVICE_TYPE = "api"
-LIST_LIMIT = 50
 
 
 def valid(spans: DataFrame) -> DataFrame:
@@ -55,14 +54,15 @@ def rollup(spans: DataFrame) -> DataFrame:
         "service_names", "has_error", "first_seen")
 
 
-def list_traces(spans: DataFrame, service: str = "", min_duration_ms: int = 0, limit: int = LIST_LIMIT) -> DataFrame:
-    """Summaries, newest arrival first."""
+def list_traces(spans: DataFrame, service: str = "", min_duration_ms: int = 0, limit: int | None = None) -> DataFrame:
+    """Summaries, newest arrival first; all of them unless the caller sets a limit."""
     out = rollup(spans)
     if min_duration_ms > 0:
         out = out.filter(F.col("duration_ms") >= min_duration_ms)
     if service:
         out = out.filter(F.array_contains("service_names", service))
-    return out.orderBy(F.desc("first_seen"), "trace_id").limit(limit)
+    out = out.orderBy(F.desc("first_seen"), "trace_id")
+    return out.limit(limit) if limit else out
 
 
 def newest_traces(spans: DataFrame, cap: int) -> DataFrame:

@@ -31,12 +31,14 @@ def _elementwise(vector: DataFrame, value: Column) -> DataFrame:
 def vector_vector(op: str, left: DataFrame, right: DataFrame, on_zero: str = "error") -> DataFrame:
     """Inner join on the full label set; a right side of exactly one sample applies to every left row.
 
+    Of right samples that repeat a label set the largest counts.
+
     The one-sample case is decided inside the plan by scalar subqueries over the
     right side, so there is neither a driver action nor a cross join.
     """
     one = right.agg(F.count(F.lit(1)).alias("n"), F.any_value("value").alias("v"))
     count, only = one.select("n").scalar(), one.select("v").scalar()
-    r = right.groupBy("labels_key").agg(F.last("value").alias("_right"))
+    r = right.groupBy("labels_key").agg(F.max("value").alias("_right"))
     matched = (left.join(r, "labels_key").filter(count != 1)
                .select("labels", "labels_key", F.col("value").alias("_left"), "_right"))
     spread = (left.filter(count == 1)

@@ -57,7 +57,7 @@ def audit_entries(spark, sf):
 
 
 @query("audit_list", f"""WITH {ACCESS_SQL} SELECT * FROM au WHERE action = 'update' AND resource_type = 'incident'
-  AND ts_ms >= {T.AS_OF - 20 * T.DAY} ORDER BY ts_ms DESC, seq DESC LIMIT 500""")
+  AND ts_ms >= {T.AS_OF - 20 * T.DAY}""")
 def audit_list(spark, sf):
     return G.audit_list(G.audit(access_log(spark, sf)), action="update", kind="incident", start_ms=T.AS_OF - 20 * T.DAY)
 
@@ -263,14 +263,14 @@ def slo_status(spark, sf):
         "current_sli", "budget_total", "budget_consumed", "budget_remaining_pct")], "healthy")
 
 
-@query("event_history", f"""WITH {ACCESS_SQL} SELECT * FROM au WHERE resource_type = 'probe' ORDER BY ts_ms DESC, seq DESC LIMIT 5000""")
+@query("event_history", f"""WITH {ACCESS_SQL} SELECT * FROM au WHERE resource_type = 'probe'""")
 def event_history(spark, sf):
-    return R.newest(G.audit(access_log(spark, sf)), R.HISTORY_LIMITS["audit"], F.col("resource_type") == "probe", [F.desc("seq")])
+    return R.newest(G.audit(access_log(spark, sf)), where=F.col("resource_type") == "probe", ties=[F.desc("seq")])
 
 
 @query("run_history", f"""WITH {PROBE_SQL} SELECT name, seq, ts_ms, status, rn::INTEGER AS rank FROM rk WHERE rn <= 20""")
 def run_history(spark, sf):
-    return R.newest_per_key(probe_results(spark, sf), ["name"], R.HISTORY_LIMITS["runs"]).select("name", "seq", "ts_ms", "status", "rank")
+    return R.newest_per_key(probe_results(spark, sf), ["name"], 20).select("name", "seq", "ts_ms", "status", "rank")
 
 
 @query("replay_schedule", f"""WITH {T.METRICS_SQL}, d AS (

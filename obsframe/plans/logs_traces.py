@@ -21,7 +21,7 @@ def _shown(df):
 
 @query("log_search_text", _log_sql("contains(lower(message), 'the') AND level = 'warn'", 100))
 def log_search_text(spark, sf):
-    return _shown(LOG.search(T.logs(spark, sf), "THE", level="warn"))
+    return _shown(LOG.search(T.logs(spark, sf), "THE", level="warn", limit=100))
 
 
 @query("log_search_regex", _log_sql("regexp_matches(message, '[0-9]{3}-[0-9]{3,4}|\\w+@\\w+\\.\\w+')", 50))
@@ -71,7 +71,7 @@ def trace_rollup(spark, sf):
 @query("trace_list", f"""WITH {ROLLUP_SQL} SELECT * FROM r
   WHERE duration_ms >= 20 AND contains(',' || services || ',', ',orders-db,') ORDER BY first_seen DESC, trace_id LIMIT 50""")
 def trace_list(spark, sf):
-    return _trace(TR.list_traces(T.spans(spark, sf), "orders-db", 20))
+    return _trace(TR.list_traces(T.spans(spark, sf), "orders-db", 20, limit=50))
 
 
 @query("trace_spans_ordered", f"""WITH {T.SPANS_SQL}

@@ -277,7 +277,7 @@ def export_metrics(spark, sf):
 
 
 @query("export_logs", f"""WITH {T.LOGS_SQL} SELECT ts_ms AS timestamp, level, source, md5(message) AS message_md5, 'lang=' || lang AS labels
-  FROM l WHERE level = 'error' AND ts_ms BETWEEN {T.LOG_START} AND {T.AS_OF} ORDER BY ts_ms DESC, seq DESC LIMIT 10000""")
+  FROM l WHERE level = 'error' AND ts_ms BETWEEN {T.LOG_START} AND {T.AS_OF}""")
 def export_logs(spark, sf):
     out = sinks.logs_export(T.logs(spark, sf), T.AS_OF, level="error", start_ms=T.LOG_START)
     return out.withColumn("message_md5", F.md5("message")).drop("message")
@@ -288,7 +288,7 @@ def export_logs(spark, sf):
     string_agg(span_id || ':' || start_ms, ',' ORDER BY (parent_span_id <> '')::INT, start_ms, seq, span_id) AS spans FROM s GROUP BY trace_id)
   SELECT *, 0 AS part FROM t WHERE start_ms >= 883612800000""")
 def export_traces(spark, sf):
-    out = sinks.traces_export(T.spans(spark, sf), 883612800000, T.AS_OF)
+    out = sinks.traces_export(T.spans(spark, sf), 883612800000, T.AS_OF, part_size=1000)
     spans = F.array_join(F.transform("spans", lambda s: F.concat(s["span_id"], F.lit(":"), s["start_ms"])), ",")
     return out.select("trace_id", "start_ms", "duration_ms", F.array_join("service_names", ",").alias("services"), "has_error",
                       spans.alias("spans"), "part")
@@ -303,7 +303,7 @@ def export_exposition(spark, sf):
 
 
 @query("export_recording", f"""WITH {T.METRICS_SQL} SELECT '{{"name":"' || name || '","labels":{{"host":"' || host || '","region":"' || region
-  || '"}},"value":' || value::BIGINT || '.0,"timestamp":' || ts_ms || '}}' AS line FROM m WHERE value < 10000000""")
+  || '"}},"value":' || value::BIGINT || '.0,"timestamp":' || ts_ms || '}}' AS line FROM m""")
 def export_recording(spark, sf):
     return sinks.recording_lines(T.metrics(spark, sf)).select(F.to_json(F.struct("*")).alias("line"))
 

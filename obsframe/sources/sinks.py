@@ -13,26 +13,29 @@ from obsframe.schemas import stored_metrics
 
 # Export defaults.
 EXPORT_WINDOW_MS = 3_600_000
-LOG_EXPORT_LIMIT = 10_000
 SCRAPE_WINDOW_MS = 300_000
 SPAN_EXPORT_COLUMNS = ["trace_id", "span_id", "parent_span_id", "service_name", "operation_name", "start_ms",
                        "duration_ms", "status"]
 
 
-def append_metrics(metrics: DataFrame, path: str, files: int | None = None) -> None:
+def append_metrics(metrics: DataFrame, path: str, files: int | None = None, batch_id: int | None = None) -> None:
     """Append to the metrics table: a folder per day, rows clustered by series and time.
 
+    A streaming batch goes to a folder of its own above the days, so that a retried one replaces itself. A table
+    is written either with or without batches.
+
     Range partitioning keeps the files of a day even when one series is most of it, and
     makes the name and time statistics of each file narrow enough to skip by.
     """
     rows = stored_metrics(metrics)
     order = ["day", "name", "labels_key", "ts_ms"]
     rows = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
-    rows.sortWithinPartitions(*order).write.mode("append").partitionBy("day").parquet(path)
+    folder, mode = (path, "append") if batch_id is None else (f"{path}/batch={batch_id}", "overwrite")
+    rows.sortWithinPartitions(*order).write.mode(mode).partitionBy("day").parquet(folder)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("batch")
 
 
 def replace_days(metrics: DataFrame, path: str) -> None:
@@ -56,10 +59,12 @@ def metrics_export(metrics: DataFrame, as_of: int, name: str | None = None, star
 
 
 def logs_export(logs: DataFrame, as_of: int, level: str = "", source: str = "", start_ms: int | None = None,
-                end_ms: int | None = None) -> DataFrame:
-    """Newest matching logs, at most the export limit."""
+                end_ms: int | None = None, limit: int | None = None) -> DataFrame:
+    """Matching logs, all of them unless the caller asks for the newest `limit`."""
     start = as_of - EXPORT_WINDOW_MS if start_ms is None else start_ms
-    found = LOG.search(logs, "", level, source, start, as_of if end_ms is None else end_ms, LOG_EXPORT_LIMIT)
+    end = as_of if end_ms is None else end_ms
+    found = (LOG.search(logs, "", level, source, start, end, limit) if limit
+             else LOG.matching(logs, "", level, source, start, end))
     return found.select(F.col("ts_ms").alias("timestamp"), "level", "source", "message",
                         L.labels_text("labels").alias("labels"))
 
@@ -69,7 +74,7 @@ def spans_export(spans: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     return TR.in_range(spans, start_ms, end_ms).select(*SPAN_EXPORT_COLUMNS)
 
 
-def traces_export(spans: DataFrame, start_ms: int, end_ms: int, part_size: int = 1000) -> DataFrame:
+def traces_export(spans: DataFrame, start_ms: int, end_ms: int, part_size: int) -> DataFrame:
     """Nested traces; a trace longer than `part_size` spans continues in further parts."""
     chosen = TR.in_range(spans, start_ms, end_ms)
     head = TR.rollup(chosen).drop("first_seen", "root_operation", "root_service", "span_count")

@@ -89,7 +89,7 @@ def anomaly_batches(table: str, out: str, window_ms: int = ST.BASELINE_MS, **kw)
         span = batch.agg(F.min("ts_ms"), F.max("ts_ms")).first()
         if span[0] is None:
             return
-        sinks.append_metrics(batch, table)
+        sinks.append_metrics(batch, table, batch_id=batch_id)
         rows = scan(sinks.read_metrics(spark, table), None, span[0] - window_ms, span[1])
         new = batch.select("name", L.labels_key("labels").alias("labels_key"), "ts_ms").distinct()
         found = ST.anomalies_backfill(rows, window_ms, **kw)
@@ -103,7 +103,7 @@ def change_batches(table: str, out: str, lookback_ms: int = ST.CHANGE_LOOKBACK_M
         newest = batch.agg(F.max("ts_ms")).first()[0]
         if newest is None:
             return
-        sinks.append_metrics(batch, table)
+        sinks.append_metrics(batch, table, batch_id=batch_id)
         rows = sinks.read_metrics(batch.sparkSession, table)
         ST.change_points(rows, newest, lookback_ms, **kw).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     return write

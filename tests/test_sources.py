@@ -132,7 +132,7 @@ def test_traces(spark, tmp_path):
     assert n == {"web": ("api", 3), "orders-db": ("database", 1), "api": ("api", 2), "cache1": ("cache", 1)}
     assert [x["trace_id"] for x in TR.list_traces(s, min_duration_ms=1).collect()] == ["u", "t"]
     assert sinks.spans_export(s, 5, 5).count() == 3
-    sinks.write_json(sinks.traces_export(s, 0, 100), str(tmp_path / "traces"))
+    sinks.write_json(sinks.traces_export(s, 0, 100, part_size=1000), str(tmp_path / "traces"))
     assert spark.read.json(str(tmp_path / "traces")).filter("trace_id = 'u'").first()["spans"][0]["operation_name"] == "get"
 
 
