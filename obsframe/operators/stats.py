@@ -283,8 +283,13 @@ def anomalies_backfill(metrics: DataFrame, window_ms: int = BASELINE_MS, min_poi
     A flat baseline is recognised by counting value changes, which is exact.
     """
     W = window_ms
+    # A running sum would never lose a NaN or infinity again, so these are counted beside it: a baseline that
+    # holds one has no deviation and gives no event.
+    finite = ~F.isnan("value") & (F.abs("value") != float("inf"))
+    number = F.when(finite, F.col("value"))
     ms = keyed(metrics).groupBy("name", "labels_key", "ts_ms").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("_vp"),
+        F.count(number).alias("n"), F.coalesce(F.avg(number), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.var_pop(number), F.lit(0.0)).alias("_vp"), F.count(F.when(~finite, 1)).alias("bad"),
         F.max_by("value", "seq").alias("value"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     own = F.floor(F.col("ts_ms") / F.lit(W)).cast("long")
     ms = ms.withColumn("_b", F.explode(F.array(
@@ -293,25 +298,25 @@ def anomalies_backfill(metrics: DataFrame, window_ms: int = BASELINE_MS, min_poi
     ms = ms.select("*", "_b.bucket", "_b.own").drop("_b")
     group = Window.partitionBy("name", "labels_key", "bucket")
     order = group.orderBy("ts_ms")
-    centre = F.sum(F.col("n") * F.col("mean")).over(group) / F.sum("n").over(group)
+    centre = F.sum(F.col("n") * F.col("mean")).over(group) / F.greatest(F.sum("n").over(group), F.lit(1))
     ms = ms.withColumn("_d", F.col("mean") - centre)
     differs = F.coalesce((F.lead("lo").over(order) != F.col("hi")).cast("long"), F.lit(0))
     ms = ms.withColumn("_next", differs)
     ms = ms.select(
-        "name", "labels_key", "bucket", "own", "ts_ms", "value", "n", centre.alias("_c"),
+        "name", "labels_key", "bucket", "own", "ts_ms", "value", "n", "bad", centre.alias("_c"),
         (F.col("n") * F.col("_d")).alias("s"),
         (F.col("n") * (F.col("_vp") + F.col("_d") * F.col("_d"))).alias("q"),
         (F.col("lo") != F.col("hi")).cast("long").alias("mixed"), F.col("_next").alias("step"),
         F.coalesce(F.lag("_next").over(order), F.lit(0)).alias("step_before"))
-    zero = [F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"),
+    zero = [F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"),
             F.lit(0).cast("long").alias("mixed"), F.lit(0).cast("long").alias("step")]
-    point = F.struct(F.col("ts_ms").alias("pos"), F.lit(1).alias("kind"), "n", "s", "q", "mixed", "step")
+    point = F.struct(F.col("ts_ms").alias("pos"), F.lit(1).alias("kind"), "n", "bad", "s", "q", "mixed", "step")
     marker = F.struct((F.col("ts_ms") - W).alias("pos"), F.lit(0).alias("kind"), *zero)
     rows = ms.select("name", "labels_key", "bucket", "own", "ts_ms", "value", "_c", "step_before",
                      F.explode(F.when(F.col("own"), F.array(point, marker)).otherwise(F.array(point))).alias("p"))
     rows = rows.select("*", "p.*").drop("p")
     before = group.orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ["n", "s", "q", "mixed", "step"]
+    sums = ["n", "bad", "s", "q", "mixed", "step"]
     rows = rows.select("name", "labels_key", "bucket", "own", "ts_ms", "value", "_c", "step_before", "kind",
                        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in sums])
     sign = F.when(F.col("kind") == 1, 1).otherwise(-1)
@@ -319,7 +324,7 @@ def anomalies_backfill(metrics: DataFrame, window_ms: int = BASELINE_MS, min_poi
         F.max("value").alias("value"), F.max("_c").alias("_c"), F.max("step_before").alias("step_before"),
         *[F.sum(sign * F.col(c)).alias(c) for c in sums])
     n = F.col("n")
-    at = at.filter(n >= min_points - 1).withColumn("_mean", F.col("s") / n)
+    at = at.filter((F.col("bad") == 0) & ~F.isnan("value") & (n >= F.lit(max(1, min_points - 1)))).withColumn("_mean", F.col("s") / n)
     var = F.greatest(F.lit(0.0), F.col("q") / n - F.col("_mean") * F.col("_mean"))
     flat = (F.col("mixed") == 0) & (F.col("step") - F.col("step_before") <= 0)
     at = at.withColumn("expected", F.col("_mean") + F.col("_c")).withColumn("_sd", F.sqrt(var))

@@ -76,3 +76,19 @@ def test_a_retried_batch_replaces_itself(spark, points, tmp_path):
     for batch_id in (0, 0, 1):
         write(m, batch_id)
     assert sinks.read_metrics(spark, f"{tmp_path}/table").count() == 100
+
+
+def test_anomalies_around_a_nan(spark, points):
+    """One NaN silences the windows that hold it and no others."""
+    clean = [("m", {}, 100 * i, 10.0 + i % 3) for i in range(400)]
+    clean[150] = ("m", {}, 15_000, 900.0)
+    clean[350] = ("m", {}, 35_000, 900.0)
+    broken = list(clean)
+    broken[145] = ("m", {}, 14_500, float("nan"))
+
+    def events(rows):
+        found = ST.anomalies_backfill(points(rows), 1000).filter("severity = 'high' OR score > 5").collect()
+        return sorted(r["ts_ms"] for r in found)
+    assert {15_000, 35_000} <= set(events(clean))
+    got = events(broken)
+    assert 35_000 in got and set(got) <= set(events(clean)) and not [t for t in got if 14_500 <= t <= 15_500]
