@@ -13,7 +13,7 @@ def brute(rows):
     for k, j, line in lines:
         n = norm(line)
         if n and n not in first:
-            first[n], sets[n] = (k, j), {n[i:i + 8] for i in range(max(1, len(n) - 7))}
+            first[n], sets[n] = (k, j), {n[i:i + 12] for i in range(max(1, len(n) - 11))}
     parent = {n: n for n in sets}
 
     def find(x):

@@ -33,7 +33,7 @@ def raked_by_numpy(data, sweeps=200):
 def test_weights_and_probabilities(spark):
     data, rows = rows_of(spark)
     cells = mixing.cells_of(rows)
-    raked = mixing.rake(cells, {d: mixing.tempered(cells, d) for d in mixing.DIMENSIONS}, tolerance=1e-9).collect()
+    raked = mixing.rake(cells, {d: mixing.tempered(cells, d) for d in mixing.DIMENSIONS}, tolerance=1e-8).collect()
     want = raked_by_numpy(data)
     for r in raked:
         o, w = want[r["source"], r["lang"], r["topic"]]
