@@ -193,9 +193,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     Texts without label are ignored. What reaches the driver is one count for each n-gram bucket and language.
     """
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_rows"))
-    chosen = (labelled.join(sizes, F.col(lang).eqNullSafe(F.col("_lang")))
-              .filter(common.luck(key) * F.col("_rows") < rows))
+    # As many entries as the model has languages; a join would bring the texts of a language together.
+    sizes = {r["_lang"]: r["_rows"] for r in labelled.groupBy(F.col(lang).cast("string").alias("_lang")).agg(
+        F.count(F.lit(1)).alias("_rows")).collect()}
+    if not sizes:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.ones((len(SCRIPTS), 0), bool))
+    of_language = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col(lang).cast("string"))
+    chosen = labelled.filter(common.luck(key) * of_language < rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
