@@ -28,8 +28,8 @@ from obsframe.session import shuffle_width
 LENGTH = 100
 GRAM = 20
 LEFT = LENGTH - GRAM        # a window starts at most so far before its anchor
-CHUNK = 2 << 20             # bytes hashed at once
-GROUP = 50_000              # different contexts of an anchor that one task sorts (9 MB); beyond, windows are joined
+CHUNK = 1 << 19             # bytes hashed at once
+GROUP = 50_000              # different contexts of an anchor that one task sorts (9 MB); beyond, windows are compared by hash
 PLACE = (1 << 31) - 1
 
 
@@ -82,6 +82,7 @@ def found_in(keys: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray,
     Packed: place, bytes to the left and to the right of the context. A span row has minus its end there, and its
     start as context hash.
     """
+    full = np.array([len(t) for t in texts])
     for part in pieces(texts):
         data = np.frombuffer(b"".join(texts[i][a:b] for i, a, b in part), np.uint8)
         owner = np.array([i for i, _, _ in part])
@@ -95,10 +96,9 @@ def found_in(keys: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray,
         at, which = at[new], which[new]
         text_of = owner[which]
         place = at - (ends - sizes)[which] + np.array([a for _, a, _ in part])[which]
-        lengths = np.array([len(t) for t in texts])[text_of]
-        left, right = np.minimum(place, LEFT), np.minimum(lengths - place, LENGTH)
+        left, right = np.minimum(place, LEFT), np.minimum(full[text_of] - place, LENGTH)
         digest = xxhash.xxh3_64_intdigest
-        views = [memoryview(t) for t in texts]
+        views = {i: memoryview(texts[i]) for i in set(owner.tolist())}
         context = np.fromiter((digest(views[t][p - a:p + b], a) for t, p, a, b in zip(
             text_of.tolist(), place.tolist(), left.tolist(), right.tolist())), np.uint64, len(at)).view(np.int64)
         anchor = h[at].view(np.int64)
@@ -128,8 +128,8 @@ def merged(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, batch.num_rows, 2048):
-            part = batch.slice(a, 2048)
+        for a in range(0, batch.num_rows, 1024):
+            part = batch.slice(a, 1024)
             texts = [t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
             for columns in found_in(np.asarray(part.column("key"), np.int64), texts):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "context", "key", "place"])
@@ -178,23 +178,24 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans as they come, and the text around wanted anchors."""
-    for batch in batches:
-        for r in range(batch.num_rows):
-            key = batch.column("key")[r].as_py()
-            parts = batch.column("parts").slice(r, 1).flatten()
-            wanted = np.asarray(parts.field("wanted")).astype(bool)
+    for whole in batches:
+        for first in range(0, whole.num_rows, 512):
+            batch = whole.slice(first, 512)
+            lists = batch.column("parts")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+            parts = lists.flatten()
+            wanted = np.asarray(parts.field("wanted").cast(pa.int8())).astype(bool)
             x, y = np.asarray(parts.field("x"), np.int64), np.asarray(parts.field("y"), np.int64)
-            k, lo, hi = merged(np.full(int((~wanted).sum()), key, np.int64), x[~wanted], y[~wanted])
-            spread = mix(np.array([key], np.int64).view(np.uint64), 24).view(np.int64)[0]
-            columns = [np.full(len(k), spread), k, lo, hi, None]
-            texts = [None] * len(k)
-            if wanted.any():
-                text = batch.column("text")[r].as_py().encode("utf-8", "surrogatepass")
-                at, left, right = y[wanted] >> 16, y[wanted] >> 8 & 255, y[wanted] & 255
-                columns = [np.concatenate(c) for c in ((columns[0], x[wanted]), (k, np.full(len(at), key, np.int64)), (lo, at), (hi, left))]
-                texts += [text[p - a:p + b] for p, a, b in zip(at.tolist(), left.tolist(), right.tolist())]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns[:4]), pa.array(texts, pa.binary())],
-                                             ["anchor", "key", "lo", "hi", "context"])
+            keys = np.asarray(batch.column("key"), np.int64)
+            k, lo, hi = merged(keys[row][~wanted], x[~wanted], y[~wanted])
+            row, x, y = row[wanted], x[wanted], y[wanted]
+            at, left, right = y >> 16, y >> 8 & 255, y & 255
+            texts = {r: batch.column("text")[r].as_py().encode("utf-8", "surrogatepass") for r in set(row.tolist())}
+            around = [texts[r][p - a:p + b] for r, p, a, b in zip(row.tolist(), at.tolist(), left.tolist(), right.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([mix(k.view(np.uint64), 24).view(np.int64), x])), pa.array(np.concatenate([k, keys[row]])),
+                 pa.array(np.concatenate([lo, at])), pa.array(np.concatenate([hi, left])),
+                 pa.array([*[None] * len(k), *around], pa.binary())], ["anchor", "key", "lo", "hi", "context"])
 
 
 def intervals(prefix: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -212,52 +213,56 @@ def intervals(prefix: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((start, value))
 
 
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7 >> 3)
+
+
 def sorted_prefixes(parts: list[bytes]) -> tuple[list[int], list[int]]:
     """The order of byte strings and the common prefix of neighbours in it."""
     order = sorted(range(len(parts)), key=parts.__getitem__)
-    prefix = []
-    for i, j in zip(order, order[1:]):
-        a, b = parts[i], parts[j]
-        n = min(len(a), len(b))
-        if a[:n] == b[:n]:
-            prefix.append(n)
-            continue
-        low, high = 0, n - 1  # the first place of difference
-        while low < high:
-            middle = (low + high) // 2
-            if a[low:middle + 1] == b[low:middle + 1]:
-                low = middle + 1
-            else:
-                high = middle
-        prefix.append(low)
-    return order, prefix
+    return order, [common_prefix(parts[i], parts[j]) for i, j in zip(order, order[1:])]
 
 
 def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
     """(bytes left, bytes right, occurrences) of all repeats of `least` bytes or more around a shared anchor that
     can be extended to neither side without losing an occurrence. `lefts` are reversed."""
+    if len(rights) == 2:
+        left, right = common_prefix(*lefts), common_prefix(*rights)
+        if left + right >= least:
+            yield left, right, [0, 1]
+        return
     order, prefix = sorted_prefixes(rights)
+    rank = [0] * len(lefts)
+    for i, m in enumerate(sorted(range(len(lefts)), key=lefts.__getitem__)):
+        rank[m] = i
     for start, end, right in intervals(prefix):
         members = order[start:end]
         # Children of the node: occurrences of one child go on alike to the right.
         child = np.cumsum([0, *(p == right for p in prefix[start:end - 1])]).tolist()
         child_of = dict(zip(members, child))
-        inner, left_prefix = sorted_prefixes([lefts[m] for m in members])
+        members.sort(key=rank.__getitem__)
+        left_prefix = [common_prefix(lefts[x], lefts[y]) for x, y in zip(members, members[1:])]
         for a, b, left in intervals(left_prefix):
             if left + right < least:
                 continue
-            group = [members[i] for i in inner[a:b]]
+            group = members[a:b]
             if len({child_of[m] for m in group}) > 1:
                 yield left, right, group
 
 
 def group_spans(keys: list[int], places: list[int], lefts: list[bytes], rights: list[bytes]) -> Iterator[tuple[int, int, int]]:
-    """(key, from, to) of every occurrence of a maximal repeat but the first."""
+    """(key, from, to) of what maximal repeats cover at occurrences but their first. All hold the anchor, so what
+    they cover at one is one span."""
+    reach: dict[int, tuple[int, int]] = {}
     for left, right, group in maximal_repeats(lefts, rights):
         first = min(group, key=lambda m: (keys[m], places[m]))
         for m in group:
             if m != first:
-                yield keys[m], places[m] - left, places[m] + right
+                a, b = reach.get(m, (0, 0))
+                reach[m] = (max(a, left), max(b, right))
+    for m, (left, right) in reach.items():
+        yield keys[m], places[m] - left, places[m] + right
 
 
 def windows_of(keys: list[int], places: list[int], lefts: list[bytes], rights: list[bytes]) -> Iterator[tuple[int, int, int]]:
@@ -269,49 +274,85 @@ def windows_of(keys: list[int], places: list[int], lefts: list[bytes], rights: l
 
 
 def tree_spans(limit: int):
-    """Spans of the groups of each anchor. A group beyond `limit` gives its windows instead, to be joined by hash."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(found: list[tuple], hashed: bool) -> pa.RecordBatch:
-            k, x, y = (np.array(c, np.int64) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 3
-            if not hashed:
-                k, x, y = merged(k, x, y)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(k), pa.array(x), pa.array(y), pa.array(np.full(len(k), hashed))], ["key", "lo", "hi", "hashed"])
+    """Spans of the groups of each anchor, as rows (key, lo, hi, window null). A group beyond `limit` gives its windows
+    instead, as rows (key, lo, null, hash); of equal windows within a thousand contexts only the first goes on."""
+    names = ["spread", "key", "lo", "hi", "window"]
+
+    def spans_of(found: list[tuple]) -> pa.RecordBatch:
+        k, lo, hi = merged(*(np.array(c, np.int64) for c in zip(*found))) if found else (np.empty(0, np.int64),) * 3
+        return pa.RecordBatch.from_arrays([pa.array(mix(k.view(np.uint64), 25).view(np.int64)), pa.array(k), pa.array(lo), pa.array(hi),
+                                           pa.nulls(len(k), pa.int64())], names)
+
+    def windows(group: tuple[list, ...]) -> Iterator[pa.RecordBatch]:
+        first: dict[int, tuple[int, int]] = {}
+        again = []
+        for key, start, h in sorted(windows_of(*group)):
+            if first.setdefault(h, (key, start)) != (key, start):
+                again.append((key, start, start + LENGTH))
+        yield spans_of(again)
+        k, lo = (np.array(c, np.int64) for c in zip(*first.values())) if first else (np.empty(0, np.int64),) * 2
+        h = np.array(list(first), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k), pa.array(lo), pa.nulls(len(k), pa.int64()), pa.array(h)], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple[list, ...] = ([], [], [], [])
         current, large, out = None, False, []
         for batch in batches:
             settled = pc.is_null(batch.column("context"))
             spans = batch.filter(settled)
-            yield pa.RecordBatch.from_arrays([spans.column(c) for c in ("key", "lo", "hi")] + [pa.array(np.zeros(len(spans), bool))],
-                                             ["key", "lo", "hi", "hashed"])
+            k = np.asarray(spans.column("key"), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(k.view(np.uint64), 25).view(np.int64)), *(spans.column(c) for c in ("key", "lo", "hi")),
+                                              pa.nulls(len(k), pa.int64())], names)
             rest = batch.filter(pc.invert(settled)).to_pydict()
             for anchor, key, place, left, text in zip(*(rest[c] for c in ("anchor", "key", "lo", "hi", "context"))):
                 if anchor != current:
                     if large:
-                        yield rows(list(windows_of(*group)), True)
+                        yield from windows(group)
                     else:
                         out.extend(group_spans(*group))
-                    if len(out) > 100_000:
-                        yield rows(out, False)
+                    if len(out) > 20_000:
+                        yield spans_of(out)
                         out = []
                     current, large, group = anchor, False, ([], [], [], [])
                 for column, value in zip(group, (key, place, text[:left][::-1], text[left:])):
                     column.append(value)
                 if len(group[0]) >= (1000 if large else limit):
                     large = True
-                    yield rows(list(windows_of(*group)), True)
+                    yield from windows(group)
                     group = ([], [], [], [])
         if large:
-            yield rows(list(windows_of(*group)), True)
+            yield from windows(group)
         else:
             out.extend(group_spans(*group))
-        yield rows(out, False)
+        yield spans_of(out)
     return run
 
 
-def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans as they come; of windows sorted by hash, key and place, spans of all but the first of each hash."""
+    before = None
     for batch in batches:
+        span = np.asarray(pc.is_null(batch.column("window")).cast(pa.int8())).astype(bool)
+        key, lo = (np.asarray(batch.column(c), np.int64) for c in ("key", "lo"))
+        hi = np.asarray(pc.fill_null(batch.column("hi"), 0), np.int64)
+        h = np.asarray(pc.fill_null(batch.column("window"), 0), np.int64)[~span]
+        again = np.zeros(len(h), bool)
+        if len(h):
+            # A window comes once for each anchor near it: it is no repeat of itself.
+            k, x = key[~span], lo[~span]
+            if before is not None:
+                h, k, x = (np.concatenate([[b], c]) for b, c in zip(before, (h, k, x)))
+            head = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), np.arange(len(h)), 0))
+            other = (k != k[head]) | (x != x[head])
+            again = other[len(other) - len(again):]
+            before = (h[-1], k[head[-1]], x[head[-1]])
+        k, a, b = merged(np.concatenate([key[span], key[~span][again]]), np.concatenate([lo[span], lo[~span][again]]),
+                         np.concatenate([hi[span], lo[~span][again] + LENGTH]))
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(b)], ["key", "lo", "hi"])
+
+
+def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (w.slice(a, 512) for w in batches for a in range(0, w.num_rows, 512)):
         out = []
         for r in range(batch.num_rows):
             text = (batch.column("text")[r].as_py() or "").encode("utf-8", "surrogatepass")
@@ -351,16 +392,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
              .repartition(width, "anchor").sortWithinPartitions("anchor", "context", "key", "place")
              .mapInArrow(settle, "key bigint, wanted boolean, x bigint, y bigint"))
     per_text = found.groupBy("key").agg(F.collect_list(F.struct("wanted", "x", "y")).alias("parts"))
-    around = dealt.join(per_text, "key").select("key", "text", "parts").mapInArrow(
+    around = dealt.join(per_text, "key").select("doc", "key", "text", "parts").mapInArrow(
         contexts, "anchor bigint, key bigint, lo bigint, hi bigint, context binary")
-    given = (around.repartition(width, "anchor").sortWithinPartitions("anchor", "key", "lo")
-             .mapInArrow(tree_spans(group), "key bigint, lo bigint, hi bigint, hashed boolean").repartition(width, "key"))
-    spans = given.filter("NOT hashed").select("key", "lo", "hi")
-    windows = given.filter("hashed").select("key", F.col("lo"), F.col("hi").alias("window"))
-    place = (F.col("key").cast("decimal(38,0)") * (1 << 31) + F.col("lo")).cast("decimal(38,0)")
-    first = windows.groupBy("window").agg(F.min(place).alias("first"))
-    later = windows.join(first, "window").filter(place > F.col("first")).select("key", "lo", (F.col("lo") + LENGTH).alias("hi"))
-    of_text = spans.union(later).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = (around.repartition(width, "anchor").sortWithinPartitions("anchor", "key", "lo")
+             .mapInArrow(tree_spans(group), "spread bigint, key bigint, lo bigint, hi bigint, window bigint")
+             .repartition(width, "spread").sortWithinPartitions("window", "key", "lo")
+             .mapInArrow(later_windows, "key bigint, lo bigint, hi bigint"))
+    of_text = spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     return (dealt.join(of_text, "key", "left").select("doc", "text", F.coalesce("spans", none).alias("spans"))
             .mapInArrow(cut_out, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
