@@ -195,7 +195,6 @@ def quota_admit(batches: DataFrame, limits: Mapping[str, int] = DEFAULT_QUOTAS,
 
 # ---- token bucket ------------------------------------------------------------------------------
 
-MAX_STATES = 100_000
 MERGE_EVERY = 16
 
 
@@ -209,9 +208,8 @@ class Bucket:
 
     @staticmethod
     def of(capacity: int, per_second: float | Fraction, tick_ms: int = 1) -> "Bucket":
-        per_tick = Fraction(per_second).limit_denominator(1_000_000) * tick_ms / 1000
-        if capacity * per_tick.denominator + 1 > MAX_STATES:
-            raise ValueError("rate needs too fine a unit; use a coarser tick_ms")
+        # A float stands for its decimal text, so 0.1 is a tenth.
+        per_tick = Fraction(str(per_second)) * tick_ms / 1000
         return Bucket(capacity, per_tick.denominator, per_tick.numerator, tick_ms)
 
     @property
@@ -237,13 +235,23 @@ def _walk(ticks: np.ndarray, counts: np.ndarray, start_tick: int, end_tick: int,
     return values[back], seen
 
 
+def _runs(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A table from state to end state as runs: first state, its end state, growth by state."""
+    if len(ends) == 1:
+        return np.zeros(1, np.int64), ends.astype(np.int64), np.zeros(1, np.int64)
+    growth = np.diff(ends)
+    at = np.flatnonzero(np.concatenate([[True], growth[1:] != growth[:-1]]))
+    return at.astype(np.int64), ends[at].astype(np.int64), growth[at].astype(np.int64)
+
+
 def rate_limit(requests: DataFrame, capacity: int = BUCKET_CAPACITY, per_second: float | Fraction = BUCKET_PER_SECOND,
                tick_ms: int = 1, chunk_ticks: int = 600_000) -> DataFrame:
     """Token-bucket verdict for each request `(key, ts_ms, seq)`: adds `allowed` and `remaining`.
 
     A hot key is never walked in one task. Requests are counted per key and tick, and time is
     cut into chunks. In whole units a bucket has few possible states, so each chunk is turned,
-    in parallel, into a table from start state to end state; following those tables chunk by
+    in parallel, into a table from start state to end state, kept as runs of states that shift
+    alike (about as many as the capacity, whatever the unit); following those tables chunk by
     chunk gives every chunk its true start state, and the chunks are then replayed in
     parallel. Only the first `taken` requests of a tick are allowed.
     """
@@ -258,18 +266,21 @@ def rate_limit(requests: DataFrame, capacity: int = BUCKET_CAPACITY, per_second:
         first = int(k[1]) * chunk_ticks
         ends, _ = _walk(pdf["tick"].to_numpy(), pdf["n"].to_numpy(), first, first + chunk_ticks,
                         np.arange(b.full + 1), b)
-        return pd.DataFrame({"key": [k[0]], "chunk": [k[1]], "ends": [ends.astype("int64")]})
+        first_state, end_state, growth = _runs(ends)
+        return pd.DataFrame({"key": [k[0]], "chunk": [k[1]], "first": [first_state], "ends": [end_state], "growth": [growth]})
 
-    tables = counted.groupBy("key", "chunk").applyInPandas(chunk_table, "key string, chunk bigint, ends array<bigint>")
+    tables = counted.groupBy("key", "chunk").applyInPandas(
+        chunk_table, "key string, chunk bigint, first array<bigint>, ends array<bigint>, growth array<bigint>")
 
     def follow(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
         state, expected, starts = b.full, None, []
-        for chunk, ends in zip(pdf["chunk"].tolist(), pdf["ends"]):
+        for chunk, first, ends, growth in zip(pdf["chunk"].tolist(), pdf["first"], pdf["ends"], pdf["growth"]):
             if expected is not None:
                 state = min(b.full, state + b.refill * chunk_ticks * (chunk - expected))
             starts.append(state)
-            state, expected = int(ends[state]), chunk + 1
+            i = int(np.searchsorted(first, state, "right")) - 1
+            state, expected = int(ends[i] + growth[i] * (state - first[i])), chunk + 1
         return pd.DataFrame({"key": k[0], "chunk": pdf["chunk"].to_numpy(), "start": starts})
 
     starts = tables.groupBy("key").applyInPandas(follow, "key string, chunk bigint, start bigint")

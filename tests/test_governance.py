@@ -23,7 +23,7 @@ def test_quota_against_fold_with_a_hot_minute(spark):
     assert got.to_dict() == want
 
 
-@pytest.mark.parametrize("capacity, rate, tick, spread", [(200, 100, 1, 20_000), (5, 3, 1, 4_000), (3, 0.5, 100, 60_000)])
+@pytest.mark.parametrize("capacity, rate, tick, spread", [(200, 100, 1, 20_000), (5, 3, 1, 4_000), (3, 0.5, 100, 60_000), (1000, 333, 1, 3_000), (50, 0.1, 1, 9_000)])
 def test_rate_limit_against_fold_with_a_hot_key(spark, capacity, rate, tick, spread):
     rng = np.random.default_rng(4)
     n = 4000
