@@ -1,6 +1,7 @@
 """`python tests/check.py SF [name ...]`: compare queries with their SQL and print timings."""
 
 import sys
+import tempfile
 import time
 import traceback
 from pathlib import Path
@@ -14,7 +15,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 sf, wanted = sys.argv[1], sys.argv[2:]
 sf_dir = f"/root/testdata/sf{sf}"
 spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-         .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate())
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="check-")).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate())
 spark.sparkContext.setLogLevel("ERROR")
 con = compare.duck(sf_dir)
 queries, sqls = entry.queries(), entry.oracle_sql()
