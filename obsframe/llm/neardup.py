@@ -2,8 +2,8 @@
 
 Every document is reduced in one pass to a 128-bit key of its shingle set and 24 band keys of three minima each.
 Documents of one set are one class from there on. Within a bucket only star edges are made, from the members to
-one hub; each is confirmed on the full sets. Buckets whose members are then still in several components get
-further hubs, twice as many each round, until every two members share a component or have been compared. At a
+one hub; each is confirmed on the full sets, unless both ends share a component already from the bands before.
+Buckets whose members are then still in several components get further hubs, twice as many each round, until every two members share a component or have been compared. At a
 similarity of 0.75 two sets share no bucket with probability (1 - 0.75^3)^24 = 2e-6, above it with less.
 """
 
@@ -24,6 +24,7 @@ from obsframe.session import cut_lineage
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 24, 3
 BINS = BANDS * ROWS
+STEPS = (1, 3, 8)   # after so many bands components are joined before the next bands make pairs
 TOP = np.uint64(2**64 - 1)
 
 
@@ -125,6 +126,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(100 * F.col("both") >= percent * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v"))
 
 
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """`label` (id, component) after the components that `links` (u, v) connect have become one."""
+    links = cut_lineage(links)
+    if links.isEmpty():
+        return cut_lineage(label)
+    edges = (links.join(label.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u")
+             .join(label.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v").select("cu", "cv"))
+    merged = components(edges.toDF("u", "v")).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return cut_lineage(label.join(merged, "component", "left").select("id", F.coalesce("whole", "component").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of `docs`.
 
@@ -139,49 +151,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # One class for each set: thousands of exact copies meet in a map-side minimum.
     classes = cut_lineage(linked.groupBy("k1", "k2").agg(F.min("id").alias("rep")))
     firsts = (linked.join(classes.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi")
-              .select("id", "n", F.explode("bands").alias("key")))
+              .select("id", "n", F.posexplode("bands").alias("band", "key")))
     firsts = cut_lineage(firsts.distinct())
     hubs = firsts.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last")
     shared = cut_lineage(firsts.join(hubs.select("key", "hub"), "key"))
-    wanted = shared.select("id").distinct()
+    wanted = cut_lineage(shared.select("id").distinct())
     sets = cut_lineage(rows.join(wanted, "id", "left_semi").mapInArrow(full_sets, "id bigint, items array<bigint>"))
-
-    sizes = F.col("n") * 100 >= percent * F.col("m")
     size_of = shared.select(F.col("id").alias("hub"), F.col("n").alias("m")).distinct()
 
-    def star(members: DataFrame) -> DataFrame:
-        """Pairs of a member and a hub that can be alike by their sizes."""
-        pairs = members.filter("id <> hub").select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v"))
-        return pairs.distinct()
-
-    links = cut_lineage(confirmed(star(shared.join(size_of, "hub").filter(
-        sizes & (F.col("m") * 100 >= percent * F.col("n")))), sets, percent))
+    # Texts of one repeated id are linked through it.
     members = cut_lineage(linked.join(classes, ["k1", "k2"]).select("id", "rep").distinct())
     texts_of = members.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-    links = links.union(members.join(texts_of, "id").filter("rep <> lo").select("rep", "lo"))
-    label = cut_lineage(components(links))
+    label = wanted.union(members.select("rep")).distinct().select("id", F.col("id").alias("component"))
+    label = joined(label, members.join(texts_of, "id").filter("rep <> lo").select(F.col("rep").alias("u"), F.col("lo").alias("v")))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        """Confirmed pairs (u, v) of members (id, n) and hubs (hub, m) that lie in different components so far."""
+        of_hub = label.select(F.col("id").alias("hub"), F.col("component").alias("other"))
+        apart = pairs.join(label, "id").join(of_hub, "hub").filter("component <> other").filter(
+            (F.col("n") * 100 >= percent * F.col("m")) & (F.col("m") * 100 >= percent * F.col("n")))
+        return cut_lineage(confirmed(apart.select(
+            F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct(), sets, percent))
+
+    # One star for each bucket. After the first bands most copies share a component and need no further pair.
+    stars = shared.filter("id <> hub").join(size_of, "hub").select("band", "id", "n", "hub", "m")
+    for low, high in zip((0, *STEPS), (*STEPS, BANDS)):
+        label = joined(label, tested(stars.filter((F.col("band") >= low) & (F.col("band") < high)).drop("band").distinct()))
+
     rest, salts = shared.filter("id <> hub").select("key", "id", "n"), 1
     while True:
-        named = (rest.join(label.withColumnRenamed("node", "id"), "id", "left")
-                 .withColumn("component", F.coalesce("component", "id")))
+        named = rest.join(label, "id")
         mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        rest = cut_lineage(named.join(mixed.select("key"), "key", "left_semi"))
+        rest = cut_lineage(named.join(mixed.select("key"), "key", "left_semi").select("key", "id", "n"))
         if rest.isEmpty():
             break
         salt = F.pmod(F.xxhash64("id", F.lit(salts)), F.lit(salts))
-        hubs = cut_lineage(rest.groupBy("key", salt.alias("salt")).agg(F.min_by(
-            F.struct("id", "component", "n"), "id").alias("h")).select(
-            "key", F.col("h.id").alias("hub"), F.col("h.component").alias("hub_component"), F.col("h.n").alias("m")))
-        pairs = rest.join(hubs, "key").filter("component <> hub_component").filter(
-            sizes & (F.col("m") * 100 >= percent * F.col("n")))
-        fresh = cut_lineage(confirmed(star(pairs), sets, percent))
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            label = cut_lineage(components(links))
-        rest = rest.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti").select("key", "id", "n")
+        hubs = cut_lineage(rest.groupBy("key", salt.alias("salt")).agg(F.min("id").alias("hub")).select("key", "hub"))
+        pairs = rest.join(hubs, "key").filter("id <> hub").select("id", "n", "hub").distinct().join(size_of, "hub")
+        label = joined(label, tested(pairs))
+        rest = rest.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
         salts *= 2
 
-    named = (members.join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    named = (members.join(label.withColumnRenamed("id", "rep"), "rep", "left")
              .select("id", F.coalesce("component", "rep").alias("component")).distinct())
     return (all_.select("id", "n").join(named, "id", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
