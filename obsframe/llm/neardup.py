@@ -24,7 +24,7 @@ from obsframe.session import cut_lineage
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 24, 3
 BINS = BANDS * ROWS
-STEPS = (1, 3, 8)   # after so many bands components are joined before the next bands make pairs
+STEPS = (2,)        # after so many bands components are joined before the next bands make pairs
 TOP = np.uint64(2**64 - 1)
 
 
@@ -128,9 +128,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def joined(label: DataFrame, links: DataFrame) -> DataFrame:
     """`label` (id, component) after the components that `links` (u, v) connect have become one."""
-    links = cut_lineage(links)
     if links.isEmpty():
-        return cut_lineage(label)
+        return label
     edges = (links.join(label.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u")
              .join(label.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v").select("cu", "cv"))
     merged = components(edges.toDF("u", "v")).select(F.col("node").alias("component"), F.col("component").alias("whole"))
@@ -163,7 +162,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     members = cut_lineage(linked.join(classes, ["k1", "k2"]).select("id", "rep").distinct())
     texts_of = members.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
     label = wanted.union(members.select("rep")).distinct().select("id", F.col("id").alias("component"))
-    label = joined(label, members.join(texts_of, "id").filter("rep <> lo").select(F.col("rep").alias("u"), F.col("lo").alias("v")))
+    label = joined(cut_lineage(label), cut_lineage(
+        members.join(texts_of, "id").filter("rep <> lo").select(F.col("rep").alias("u"), F.col("lo").alias("v"))))
 
     def tested(pairs: DataFrame) -> DataFrame:
         """Confirmed pairs (u, v) of members (id, n) and hubs (hub, m) that lie in different components so far."""
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct(), sets, percent))
 
     # One star for each bucket. After the first bands most copies share a component and need no further pair.
-    stars = shared.filter("id <> hub").join(size_of, "hub").select("band", "id", "n", "hub", "m")
+    stars = cut_lineage(shared.filter("id <> hub").join(size_of, "hub").select("band", "id", "n", "hub", "m"))
     for low, high in zip((0, *STEPS), (*STEPS, BANDS)):
         label = joined(label, tested(stars.filter((F.col("band") >= low) & (F.col("band") < high)).drop("band").distinct()))
 
