@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 
 from obsframe.session import cut_lineage, shuffle_width
 
-LONG_RUN = 64  # a longer run of non-space is cut into pieces, so that scripts without spaces have words too
+LONG_RUN = 64  # a longer run of non-space is cut into pieces
+# Fixed value: letters of scripts written without spaces; each is a word.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,19 +39,32 @@ def luck(*keys: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
 
 
+def pieces(run: Column) -> Column:
+    """A run of non-space cut at places that its characters alone decide, every eight characters on average.
+
+    So a stretch that two runs share is cut alike in both, wherever it stands. No piece is longer than 64.
+    """
+    cut = lambda c, x, i: F.pmod(F.xxhash64(nth(c, i - 1), x), F.lit(8)) == 0
+    spaced = let(F.split(run, ""), lambda c: F.array_join(F.transform(
+        c, lambda x, i: F.when(cut(c, x, i), F.concat(x, F.lit(" "))).otherwise(x)), ""))
+    return F.split(F.rtrim(F.regexp_replace(spaced, rf"(\S{{{LONG_RUN}}})(?=\S)", "$1 ")), " ")
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words of a text; an empty array for null, empty and blank texts.
 
-    A run of more than 64 characters without a space is cut into pieces of eight.
+    A letter of a script written without spaces is a word, in short and long texts alike. Another run of more than
+    64 characters without a space, and no other word of its text, is cut by `pieces`.
     """
     def split(t: Column) -> Column:
         trimmed = F.btrim(t, F.lit(" \t\n\x0b\f\r"))
         return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"\s+"))
 
-    plain = split(F.coalesce(text, F.lit("")))
-    return let(plain, lambda w: F.when(
+    spaced = let(F.coalesce(text, F.lit("")), lambda t: F.when(
+        F.rlike(t, F.lit(UNSPACED)), F.regexp_replace(t, f"({UNSPACED})", " $1 ")).otherwise(t))
+    return let(let(spaced, split), lambda w: F.when(
         F.exists(w, lambda x: F.length(x) > LONG_RUN),
-        split(F.regexp_replace(F.array_join(w, " "), r"(\S{8})", "$1 "))).otherwise(w))
+        F.flatten(F.transform(w, lambda x: F.when(F.length(x) > LONG_RUN, pieces(x)).otherwise(F.array(x))))).otherwise(w))
 
 
 def slices(df: DataFrame, key: str, per_task: int = 4) -> tuple[Column, int]:
