@@ -37,6 +37,10 @@ def is_number(word: Column) -> Column:
     return ((word >= "0") & (word < ":")) | word.isin(NUMBER_WORDS)
 
 
+def is_capital(bare: Column, lower: Column) -> Column:
+    return (bare != lower) & (bare != F.upper(bare))
+
+
 def template(text: Column, of: Callable[[Column, Column], Column]) -> Column:
     """`of(template token, lower-case bare word)` for every word.
 
@@ -44,7 +48,7 @@ def template(text: Column, of: Callable[[Column, Column], Column]) -> Column:
     capitals) and starts no sentence.
     """
     def token(words: Column, bares: Column, x: Column, i: Column) -> Column:
-        capital = common.let(common.nth(bares, i), lambda b: (b != x) & (b != F.upper(b)))
+        capital = common.let(common.nth(bares, i), lambda b: is_capital(b, x))
         starts = (i == 0) | F.right(common.nth(words, i - 1), F.lit(1)).isin(".", "!", "?", ":")
         unit = x.isin(UNITS) & (i > 0) & is_number(F.lower(common.nth(bares, i - 1)))
         return F.when(is_number(x), F.lit("<num>")).when(capital & ~starts, F.lit("<name>")).when(unit, F.lit("<unit>")).otherwise(x)
@@ -60,9 +64,16 @@ def tokens(text: Column) -> Column:
         token.alias("token"), F.when(token.isin("<num>", "<unit>", "<name>"), x).alias("slot"))))
 
 
-def hashed(text: Column) -> Column:
-    """The hashes of the template tokens."""
-    return template(text, lambda t, x: F.xxhash64(t))
+def hashed(text: Column, raw: bool = False) -> Column:
+    """The hashes of the template tokens, or of the lower-case bare words."""
+    return template(text, lambda t, x: F.xxhash64(x if raw else t))
+
+
+def openings(text: Column) -> Column:
+    """The template tokens that the first word of a text can be where the text stands inside another one."""
+    return common.let(F.btrim(common.nth(common.words(text), F.lit(0)), F.lit(EDGES)), lambda b: common.let(
+        F.lower(b), lambda x: F.when(is_number(x), F.array(F.lit("<num>"))).otherwise(F.array_compact(F.array(
+            x, F.when(is_capital(b, x), F.lit("<name>")), F.when(x.isin(UNITS), F.lit("<unit>")))))))
 
 
 def windows(hashes: Column, width: int) -> Column:
@@ -72,23 +83,36 @@ def windows(hashes: Column, width: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(item, width, at, hash, total) of the usable windows, and (item, at, value) of the slots."""
-    items = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(text)).alias("t")).filter(
-        "item IS NOT NULL AND size(t) > 0").dropDuplicates(["item", "t"])
-    width = F.least(F.size("t"), F.lit(WINDOW))
-    at = F.explode(F.sequence(F.lit(0), F.size("t") - F.col("width")))
-    rows = (items.withColumn("width", width).select("item", "t", "width", at.alias("at"))
+    """(item, raw, width, at, hash, total) of the usable windows, and (item, at, value) of the slots.
+
+    A window at the start of an item comes once for each token its opening word can be. An item without a usable
+    window comes with all its windows over the words themselves (`raw`).
+    """
+    items = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(text)).alias("t"), openings(F.col(text)).alias("heads")).filter(
+        "item IS NOT NULL AND size(t) > 0").groupBy("item", "t").agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))
+    items = items.withColumn("width", F.least(F.size("t"), F.lit(WINDOW)))
+    every = F.sequence(F.lit(0), F.size("t") - F.col("width"))
+
+    def usable(at: Column) -> Column:
+        literals = F.size(F.filter(F.slice("t", at + 1, F.col("width")), lambda p: p["slot"].isNull()))
+        return literals >= F.least(F.lit(LITERALS), F.col("width"))
+
+    items = (items.withColumn("places", F.filter(every, usable)).withColumn("raw", F.size("places") == 0)
+             .withColumn("places", F.when(F.col("raw"), every).otherwise(F.col("places"))))
+    rows = (items.select("item", "t", "heads", "width", "raw", F.explode("places").alias("at"))
             .withColumn("part", F.slice("t", F.col("at") + 1, F.col("width")))
-            .withColumn("literals", F.size(F.filter("part", lambda p: p["slot"].isNull())))
-            .filter(F.col("literals") >= F.least(F.lit(LITERALS), F.col("width"))))
+            .withColumn("head", F.explode(F.when((F.col("at") == 0) & ~F.col("raw"), F.col("heads")).otherwise(
+                F.array(F.get("part", F.lit(0))["token"])))))
     # Hashed like the documents' windows: the hash of the hashes of the tokens.
-    h = F.transform("part", lambda p: F.xxhash64(p["token"]))
+    h = F.transform("part", lambda p, i: F.xxhash64(
+        F.when(F.col("raw"), F.coalesce(p["slot"], p["token"])).when(i == 0, F.col("head")).otherwise(p["token"])))
     keyed = F.coalesce(*(F.when(F.col("width") == n, F.xxhash64(*(F.get(F.col("h"), F.lit(j)) for j in range(n))))
                          for n in range(1, WINDOW + 1)))
-    found = (rows.withColumn("h", h).select("item", "width", "at", keyed.alias("hash")))
-    totals = found.groupBy("item").agg(F.count(F.lit(1)).alias("total"))
-    slots = (items.select("item", F.posexplode("t").alias("at", "p")).filter("p.slot IS NOT NULL")
-             .select("item", "at", F.col("p.slot").alias("value")))
+    found = (rows.withColumn("h", h).select("item", "raw", "width", "at", keyed.alias("hash")))
+    totals = items.groupBy("item").agg(F.sum(F.size("places")).alias("total"))
+    slots = (items.select("item", "heads", F.posexplode("t").alias("at", "p"))
+             .filter((F.col("p.slot").isNotNull()) | ((F.col("at") == 0) & (F.size("heads") > 1)))
+             .select("item", "at", F.coalesce("p.slot", "p.token").alias("value")))
     return cut_lineage(found.join(totals, "item")), slots
 
 
@@ -99,17 +123,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A document holds an item when `run` windows of it (all of them, if it has fewer) match along one alignment,
     and the item's slots and the fillers found there map one to one. `verbatim` means that all fillers are the
     item's own. Null, empty and very short texts hold nothing; windows of fewer than four literal tokens are
-    not looked at, unless the item is that short. Null ids on either side are left out, equal ids are one document.
+    not looked at, unless the item is that short. An item that has no others is looked for word by word, with its
+    own numbers and names alone. The opening word of an item may be a name or a unit in the document. Null ids on either side are left out, equal ids are one document.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("body")).filter("doc IS NOT NULL AND body IS NOT NULL")
     known, slots = benchmark_windows(benchmark, item_col, item_text)
     small = known.count() <= BROADCAST_ROWS
     side = F.broadcast(known) if small else known
-    lengths = [r["width"] for r in known.select("width").distinct().collect()]  # at most eight
+    kinds = [tuple(r) for r in known.select("raw", "width").distinct().collect()]  # at most sixteen
     hits = None
-    for width in sorted(lengths):
-        found = (rows.select("doc", F.posexplode(windows(hashed(F.col("body")), width)).alias("place", "hash"))
-                 .join(side.filter(F.col("width") == width), "hash")
+    for raw, width in sorted(kinds):
+        found = (rows.select("doc", F.posexplode(windows(hashed(F.col("body"), raw), width)).alias("place", "hash"))
+                 .join(side.filter((F.col("raw") == raw) & (F.col("width") == width)), "hash")
                  .select("doc", "item", "total", (F.col("place") - F.col("at")).alias("shift"), "at"))
         hits = found if hits is None else hits.union(found)
     if hits is None:
