@@ -1,10 +1,10 @@
 """Fuzzy line deduplication by MinHash, with built-in functions only.
 
-Equal lines are one class. The shingles (twelve characters) of a line are hashed once; the upper bits of a hash
-pick one of 64 bins, and each bin keeps its minimum. Four neighbouring bins make a band key. Members of a bucket
+Equal lines are one class. The shingles (eight characters in the query) of a line are hashed once; the low bits of a
+hash pick one of 24 bins, and each bin keeps its minimum. Two neighbouring bins make a band key. Members of a bucket
 are paired with the smallest line of the bucket, and later with further ones while a bucket holds several
 components; pairs are confirmed by the Jaccard similarity of the whole shingle sets, and confirmed links are united.
-At a similarity of 0.75 two lines share no bucket with probability (1 - 0.75^4)^16 = 0.002, at 0.9 with 5e-8.
+At a similarity of 0.75 two lines share no bucket with probability (1 - 0.75^2)^12 = 5e-5.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from obsframe.llm import common
 from obsframe.llm.components import components
 from obsframe.session import cut_lineage
 
-SHINGLE = 12
+SHINGLE = 8             # of the query and of without_repeats: one edit inside a line of 63 characters still links
+WIDE = 12               # unless the caller of fuzzy_lines says otherwise
 PERCENT = 75
-BIN_BITS, BAND_BITS = 6, 4
+BINS = 24
 SEND_ROWS = 1_000_000   # keys or lines up to this are sent to every executor (about 50 MB), more are shuffled
 
 
-def shingle_hashes(line: Column, k: int = SHINGLE) -> Column:
+def shingle_hashes(line: Column, k: int) -> Column:
     """Hashes of all `k`-character pieces of a line; a shorter line is one piece, null and empty lines too."""
     # Four bytes for each character, so that a piece is found without walking the line.
     return common.let(F.encode(F.coalesce(line, F.lit("")), "UTF-32"), lambda b: common.let(
@@ -30,19 +31,18 @@ def shingle_hashes(line: Column, k: int = SHINGLE) -> Column:
             common.upto(0, n - (k - 1)), lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * k))))))
 
 
-def band_keys(hashes: Column) -> Column:
-    """One key for each band that is not empty, from the minima of its bins."""
-    bin_of = lambda x: F.shiftright(x, 64 - BIN_BITS)
-    band_of = lambda x: F.shiftright(x, 64 - BAND_BITS)
-    per_band = 1 << BIN_BITS - BAND_BITS
-
-    def key(m: Column, x: Column, i: Column) -> Column:
-        later = [common.let(common.nth(m, i + j), lambda y: F.when(band_of(y) == band_of(x), y)) for j in range(1, per_band)]
-        return F.when((i == 0) | (band_of(common.nth(m, i - 1)) != band_of(x)), F.xxhash64(x, *later))
-
-    # In a sorted array the bins follow each other, each with its minimum first.
-    lowest = common.let(F.sort_array(hashes), lambda p: F.filter(p, lambda x, i: (i == 0) | (bin_of(common.nth(p, i - 1)) != bin_of(x))))
-    return common.let(lowest, lambda m: F.filter(F.transform(m, lambda x, i: key(m, x, i)), lambda k: k.isNotNull()))
+def band_keys(hashes: Column, bins: int = BINS) -> Column:
+    """One key for each pair of neighbouring bins that is not empty: its number and the minimum of each bin."""
+    # The bin stands in the upper bits, so that a sorted array holds the bins one after the other.
+    packed = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.pmod(h, F.lit(bins)), 56).bitwiseOR(
+        F.shiftrightunsigned(h, 8))))
+    bin_of = lambda x: F.shiftright(x, 56)
+    pair_of = lambda x: F.shiftright(x, 57)
+    lowest = common.let(packed, lambda p: F.filter(p, lambda x, i: (i == 0) | (bin_of(common.nth(p, i - 1)) != bin_of(x))))
+    return common.let(lowest, lambda m: F.filter(F.transform(m, lambda x, i: F.when(
+        (i > 0) & (pair_of(common.nth(m, i - 1)) == pair_of(x)), F.lit(None)).when(
+        pair_of(common.nth(m, i + 1)) == pair_of(x), F.xxhash64(x, common.nth(m, i + 1))).otherwise(
+        F.xxhash64(x))), lambda key: key.isNotNull()))
 
 
 def normal(line: Column) -> Column:
@@ -55,7 +55,7 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def alike(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Those of `pairs` whose shingle sets are alike enough. Lines travel as text, an eighth of their sets."""
     left = texts.select(F.col("node").alias("u"), F.col("norm").alias("a"))
     right = texts.select(F.col("node").alias("v"), F.col("norm").alias("b"))
@@ -63,7 +63,7 @@ def alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     def enough(a: Column, b: Column) -> Column:
         return common.let(F.size(F.array_intersect(a, b)), lambda both: 100 * both >= percent * (F.size(a) + F.size(b) - both))
 
-    sets = lambda c: F.array_distinct(shingle_hashes(F.col(c)))
+    sets = lambda c: F.array_distinct(shingle_hashes(F.col(c), shingle))
     return (pairs.join(left, "u").join(right, "v")
             .filter(common.let(sets("a"), lambda a: common.let(sets("b"), lambda b: enough(a, b)))).select("u", "v"))
 
@@ -73,11 +73,12 @@ def sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SEND_ROWS else df
 
 
-def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT,
+                shingle: int = WIDE) -> DataFrame:
     """(doc_id, line_no, kept, first_doc_id, first_line_no) of every line of every document.
 
-    Lines are linked when 100 * |intersection| >= `percent` * |union| of their shingle sets, compared in lower
-    case and without white space at the ends. Of a component only its first line, in order of (doc_id, line_no),
+    Lines are linked when 100 * |intersection| >= `percent` * |union| of their sets of pieces of `shingle`
+    characters, compared in lower case and without white space at the ends. Of a component only its first line, in order of (doc_id, line_no),
     is kept; `first_*` name it. Blank lines are all kept. Null ids come before all others. Lines are told apart by
     64-bit hashes: among a billion different lines, two share one with probability 3 %.
     """
@@ -85,7 +86,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", per
     place = (F.coalesce(F.col("doc_id"), F.lit(-1 << 62)).cast("decimal(38,0)") * (1 << 31) + F.col("line_no")).cast("decimal(38,0)")
     lines = cut_lineage(split.select(
         "doc_id", "line_no", place.alias("place"), F.when(F.col("norm") != "", F.xxhash64("norm")).alias("node"),
-        F.when(F.col("norm") != "", band_keys(shingle_hashes(F.col("norm")))).alias("keys")))
+        F.when(F.col("norm") != "", band_keys(shingle_hashes(F.col("norm"), shingle))).alias("keys")))
     keyed = lines.filter("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
     # Equal lines fall together in the minimum and maximum; what stays are buckets of different lines.
     hubs = cut_lineage(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
@@ -99,7 +100,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", per
         return members.filter("node <> hub").select(
             F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
 
-    links = cut_lineage(alike(star(shared), texts, percent))
+    links = cut_lineage(alike(star(shared), texts, percent, shingle))
     label = cut_lineage(components(links))
     rest, salts = shared.filter("node <> hub").select("key", "node"), 1
     while True:
@@ -112,7 +113,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", per
         hubs = cut_lineage(rest.groupBy("key", salt.alias("salt")).agg(F.min("node").alias("hub")).select("key", "hub"))
         of_hub = hubs.join(label.select(F.col("node").alias("hub"), F.col("component").alias("other")), "hub", "left")
         pairs = (rest.join(of_hub.withColumn("other", F.coalesce("other", "hub")), "key").filter("component <> other"))
-        fresh = cut_lineage(alike(star(pairs), texts, percent))
+        fresh = cut_lineage(alike(star(pairs), texts, percent, shingle))
         if not fresh.isEmpty():
             links = links.union(fresh)
             label = cut_lineage(components(links))
@@ -133,7 +134,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", per
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with repeated lines cut out of the text. Ids must be unique; a document of repeats alone becomes empty."""
-    gone = (fuzzy_lines(docs, id_col, text).filter(~F.col("kept")).groupBy("doc_id")
+    gone = (fuzzy_lines(docs, id_col, text, shingle=SHINGLE).filter(~F.col("kept")).groupBy("doc_id")
             .agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_doc"))
     left = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("_gone", i))
     return (docs.join(gone, F.col(id_col).eqNullSafe(F.col("_doc")), "left")
@@ -142,4 +143,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines(common.table(spark, sf_dir, "documents"))
+    return fuzzy_lines(common.table(spark, sf_dir, "documents"), shingle=SHINGLE)
