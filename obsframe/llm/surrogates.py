@@ -43,20 +43,36 @@ def any_of(names: list[str]) -> str:
 
 NAME = r"\p{Lu}[\p{L}'-]+"
 TITLE = any_of([t for names in TITLES.values() for t in names])
+GROUP = "[0-9A-Fa-f]{1,4}"
+# Prefixes of common keys, which stay.
+PREFIX = r"(?:AKIA|ASIA|(?:sk|pk|rk)[-_](?:live_|test_|proj-)?|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|eyJ)"
+# Numbers of 13 to 19 digits but 16, whole or in groups as on cards; only those with a valid check sum are entities.
+NUMBER = (r"\b(?:[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{3}){3}"
+          r"|[0-9]{17,19}|[0-9]{13,15})\b")
 # What is looked for, in order of precedence. Each pattern must match the whole entity.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
-    "phone": r"\+[0-9][0-9 ()-]{7,}[0-9]",
+    "ipv6": (rf"(?<![0-9A-Za-z:.])(?!::1(?![0-9A-Fa-f:]))(?=[A-Fa-f:]*[0-9])(?:(?:{GROUP}:){{7}}{GROUP}"
+             rf"|(?:{GROUP}(?::{GROUP}){{0,5}})?::(?:{GROUP}(?::{GROUP}){{0,5}})?)(?![0-9A-Za-z:])"),
+    "key": (r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?:sk|pk|rk)[-_](?:live_|test_|proj-)?(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,}"
+            r"|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+            r"|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
+            r"|(?<![A-Za-z0-9+/=._-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+][A-Za-z0-9+/]{39,}={0,2}"),
+    "phone": (r"\+[0-9][0-9 ()-]{7,}[0-9]"
+              r"|(?<![0-9A-Za-z.+-])(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])"
+              r"|(?<![0-9A-Za-z.+-])(?![0-9]{2}[ /-][0-9]{2}[ /-][0-9]{4}(?![0-9]))(?=(?:[ ()/-]{0,2}[0-9]){9})"
+              r"(?:\(0[0-9]{1,4}\) ?|0[0-9]{1,4}[ /-])[0-9]{2,8}(?:[ -][0-9]{2,8}){0,4}(?![0-9]|[.-][0-9])"),
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "secret": r"\b(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})\b",
+    "number": NUMBER,
     "card": r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "name": rf"\b{TITLE}\.? {NAME}(?: {NAME})?|\b{any_of([n for names in GIVEN.values() for n in names])} {NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-# Every entity holds a digit or an @, or is a name; most texts are done with after this.
-HINT = rf"[0-9@]|{TITLE}\.? \p{{Lu}}|\b{any_of([n for names in GIVEN.values() for n in names])} \p{{Lu}}"
+# Every entity holds a digit or an @, or is a name or a prefixed key; most texts are done with after this.
+HINT = rf"[0-9@]|{PREFIX}|{TITLE}\.? \p{{Lu}}|\b{any_of([n for names in GIVEN.values() for n in names])} \p{{Lu}}"
 
 
 def entities(text: Column) -> Column:
@@ -65,9 +81,23 @@ def entities(text: Column) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
+    """The kind of an entity; null for a number that is no card."""
     found = reduce(lambda c, kv: c.when(F.rlike(entity, F.lit(f"^(?:{kv[1]})$")), F.lit(kv[0])), list(PATTERNS.items())[1:],
                    F.when(F.rlike(entity, F.lit(f"^(?:{PATTERNS['email']})$")), F.lit("email")))
-    return found.otherwise("name")
+    return common.let(found.otherwise("name"), lambda k: F.when(k != "number", k).when(is_card(entity), F.lit("card")))
+
+
+def is_card(number: Column) -> Column:
+    return luhn(F.regexp_replace(number, "[^0-9]", "")) == 0
+
+
+def full_address(text: Column) -> Column:
+    """Eight groups of four digits for any spelling of an IPv6 address."""
+    groups = lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), ":"), lambda g: g != "")
+    sides = common.let(F.split(F.lower(text), "::"), lambda p: F.struct(
+        groups(common.nth(p, F.lit(0))).alias("a"), groups(common.nth(p, F.lit(1))).alias("b")))
+    return common.let(sides, lambda p: F.array_join(F.transform(F.concat(
+        p["a"], F.array_repeat(F.lit("0"), 8 - F.size(p["a"]) - F.size(p["b"])), p["b"]), lambda g: F.lpad(g, 4, "0")), ":"))
 
 
 def untitled(entity: Column) -> Column:
@@ -78,6 +108,7 @@ def canonical(kind: Column, entity: Column) -> Column:
     """What two spellings of one entity have in common. A title is no part of a name."""
     return (F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, "[^0-9]", ""))
             .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
+            .when(kind == "ipv6", full_address(entity)).when(kind == "key", entity)
             .when(kind == "name", F.lower(untitled(entity))).otherwise(F.lower(entity)))
 
 
@@ -111,14 +142,16 @@ def chars(text: Column) -> Column:
 def spelled(kind: Column, plain: Column, stream: Column) -> Column:
     """Character by character: digits to digits, letters to letters, hexadecimal for secrets; marks stay.
 
-    Kept as they are: the first digit of cards and phones, the country of an IBAN, the last label of a domain.
+    Kept as they are: the first digit of cards and phones, the country of an IBAN, the last label of a domain, the
+    prefix of a key.
     """
     digit = lambda b: F.pmod(b, F.lit(10)).cast("string")
     letter = lambda b: F.char(F.pmod(b, F.lit(26)) + 97)
+    prefix = F.length(F.regexp_extract(plain, rf"^{PREFIX}", 0))
     last = F.length(plain) - F.length(F.substring_index(plain, ".", -1))
     return F.array_join(F.transform(chars(plain), lambda c, i: common.let(byte_at(stream, i), lambda b: F.when(
         kind.isin("card", "phone") & (i == 0), c).when((kind == "iban") & (i < 2), c)
-        .when((kind == "email") & (i >= last), c)
+        .when((kind == "email") & (i >= last), c).when((kind == "key") & (i < prefix), c)
         .when(kind == "secret", F.lower(F.hex(F.pmod(b, F.lit(16)))))
         .when(c.between("0", "9"), digit(b)).when(c.between("a", "z"), letter(b))
         .when(c.between("A", "Z"), F.upper(letter(b))).otherwise(c))), "")
@@ -168,7 +201,9 @@ def person(plain: Column, gender: Column, stream: Column, attempt: Column) -> Co
 def surrogate(kind: Column, plain: Column, gender: Column, attempt: Column, key: str) -> Column:
     stream = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, plain, attempt.cast("string")), 512)
     made = common.let(stream, lambda s: F.when(kind == "name", F.lower(person(plain, gender, s, attempt)))
-                      .when(kind == "ip", address(plain, s)).otherwise(spelled(kind, plain, s)))
+                      .when(kind == "ip", address(plain, s))
+                      .when(kind == "ipv6", F.concat_ws(":", F.lit("2001"), *(F.substring(s, 4 * i + 1, 4) for i in range(7))))
+                      .otherwise(spelled(kind, plain, s)))
     return common.let(made, lambda m: F.when(kind == "card", card(plain, m)).otherwise(m))
 
 
@@ -212,7 +247,7 @@ def rendered(kind: Column, entity: Column, made: Column) -> Column:
     title = F.left(entity, F.length(entity) - F.length(untitled(entity)))
     bare = untitled(entity)
     name = F.concat(title, F.when(F.upper(bare) == bare, F.upper(made)).otherwise(F.initcap(made)))
-    return (F.when(kind == "name", name).when(kind == "ip", made)
+    return (F.when(kind == "name", name).when(kind.isin("ip", "ipv6"), made)
             .when(kind == "secret", F.when(F.upper(entity) == entity, F.upper(made)).otherwise(made)).otherwise(walk(how)))
 
 
@@ -233,15 +268,17 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY, out: s
     spellings = cut_lineage(mentions.select("entity").distinct().withColumn("kind", kind)
                             .withColumn("plain", canonical(F.col("kind"), F.col("entity")))
                             .withColumn("gender", F.when(F.col("kind") == "name", gender_of(F.col("entity"))).otherwise(NEUTRAL)))
-    known = spellings.groupBy("kind", "plain").agg(F.min("gender").alias("gender"))
-    table = (spellings.drop("gender").join(assign(known, key), ["kind", "plain"])
-             .select("entity", rendered(F.col("kind"), F.col("entity"), F.col("made")).alias("made")))
+    known = spellings.filter("kind IS NOT NULL").groupBy("kind", "plain").agg(F.min("gender").alias("gender"))
+    table = (spellings.filter("kind IS NOT NULL").drop("gender").join(assign(known, key), ["kind", "plain"])
+             .select("entity", rendered(F.col("kind"), F.col("entity"), F.col("made")).alias("made"))
+             .unionByName(spellings.filter("kind IS NULL").select("entity", F.col("entity").alias("made"))))
     of_row = (mentions.join(table, "entity").groupBy("_row")
               .agg(F.map_from_entries(F.collect_list(F.struct("entity", "made"))).alias("_map")))
     between = F.split(text, ANY, -1)
     new = F.transform(F.col("_found"), lambda e: F.element_at(F.col("_map"), e))
     whole = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    joined = hit.join(of_row, "_row").withColumn("n_entities", F.size("_found")).withColumn(name, whole)
+    joined = hit.join(of_row, "_row").withColumn("n_entities", F.size(F.filter(
+        "_found", lambda e: ~F.rlike(e, F.lit(f"^{NUMBER}$")) | is_card(e)))).withColumn(name, whole)
     columns = own if name in own else [*own, name]
     return joined.select(*columns, "n_entities").unionByName(clean.select(*columns, "n_entities"))
 
