@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from obsframe.llm import (
-    decontam, fingerprints, langid, linededup, mixing, neardup, quality, repeats, surrogates, tokenfiles)
+    decontam, fingerprints, langid, linededup, mixing, neardup, prefixtrie, quality, repeats, surrogates, tokenfiles)
 
 QUERIES = {
     "op1_winnow": fingerprints.op1_winnow,
@@ -16,5 +16,6 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_decontaminate": decontam.op9_decontaminate,
     "op10_fuzzy_lines": linededup.op10_fuzzy_lines,
+    "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {}
