@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from obsframe.llm import (
-    decontam, fingerprints, langid, linededup, mixing, neardup, prefixtrie, quality, repeats, surrogates, tokenfiles)
+    decontam, fingerprints, langid, linededup, mixing, neardup, prefixtrie, quality, repeats, surrogates, tokenfiles, toxicity)
 
 QUERIES = {
     "op1_winnow": fingerprints.op1_winnow,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_decontaminate": decontam.op9_decontaminate,
     "op10_fuzzy_lines": linededup.op10_fuzzy_lines,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {}
