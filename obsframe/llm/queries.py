@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from obsframe.llm import (
-    decontam, fingerprints, langid, linededup, mixing, neardup, prefixtrie, quality, repeats, surrogates, tokenfiles, toxicity)
+    alignment, decontam, fingerprints, langid, linededup, mixing, neardup, prefixtrie, quality, repeats, surrogates, tokenfiles, toxicity)
 
 QUERIES = {
     "op1_winnow": fingerprints.op1_winnow,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_decontaminate": decontam.op9_decontaminate,
     "op10_fuzzy_lines": linededup.op10_fuzzy_lines,
     "op11_toxicity": toxicity.op11_toxicity,
+    "op12_alignment": alignment.op12_alignment,
     "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {}
