@@ -5,8 +5,8 @@ at the greatest depth. At each depth the conversations that end there are merged
 the depth below, whose last turn has been stripped: one map-side aggregate that discovers the nodes of this depth and
 sums what their subtrees hold at once. Copies vanish in the first merge, so every level holds nodes, not conversations.
 
-The arrays hold 24 bytes for each turn, so the sweep moves about the sum of the depths of all nodes; the number of
-Spark jobs is that of the longest conversation's turns.
+Turns below the last one that two different conversations share belong to one conversation and its copies; such a tail
+is peeled off in one step. So the sweep takes as many Spark jobs as the longest shared prefix has turns.
 """
 
 from __future__ import annotations
@@ -114,6 +114,17 @@ def joined_ids(ends: DataFrame) -> DataFrame:
             .mapInArrow(hashes, "k1 bigint, k2 bigint, ends_sha256 string"))
 
 
+def shared_depths(ended: DataFrame) -> DataFrame:
+    """(conv_id, shared) of every row of `ended` (path, conv_id): how many first turns it shares with some other row."""
+    upto = lambda seed: F.transform(F.sequence(F.lit(1), F.size("path")), lambda d: F.xxhash64(F.lit(seed), F.slice("path", F.lit(1), d)))
+    prefixes = cut_lineage(ended.filter(F.size("path") > 0).select(
+        "conv_id", F.posexplode(F.arrays_zip(upto(1).alias("a"), upto(2).alias("b")))).select(
+        "conv_id", (F.col("pos") + 1).alias("depth"), F.col("col.a").alias("a"), F.col("col.b").alias("b")))
+    common_ones = (prefixes.groupBy("a", "b").agg(F.min("conv_id").alias("lo"), F.max("conv_id").alias("hi"))
+                   .filter("lo < hi").select("a", "b"))
+    return prefixes.join(common_ones, ["a", "b"]).groupBy("conv_id").agg(F.max("depth").alias("shared"))
+
+
 def trie(paths: DataFrame) -> DataFrame:
     """One row for each distinct prefix of the given (conv_id, path), from the root (depth 0) down.
 
@@ -124,43 +135,65 @@ def trie(paths: DataFrame) -> DataFrame:
     """
     paths = cut_lineage(paths)
     # Whole conversations that are equal are one row from here on.
-    ended = cut_lineage(paths.groupBy("path").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"))
-                        .withColumn("depth", F.size("path")))
-    deepest = ended.agg(F.max("depth")).first()[0]
+    whole = cut_lineage(paths.groupBy("path").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")))
+    ended = cut_lineage(whole.join(shared_depths(whole), "conv_id", "left").select(
+        "path", "conv_id", "n_convs", F.size("path").alias("depth"), F.coalesce("shared", F.lit(0)).alias("shared")))
+    deepest = ended.agg(F.max("shared")).first()[0]
+    if deepest is None:
+        return paths.sparkSession.createDataFrame([], (
+            "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, "
+            "saved_tokens bigint, ends_sha256 string"))
     sums = "n_convs", "n_children", "n_leaves", "saved_tokens"
+    below = lambda first: (F.col("n_convs") - 1) * F.aggregate(
+        F.slice("path", first, F.greatest(F.col("depth"), F.lit(1))), F.lit(0).cast("bigint"), lambda s, t: s + t["bytes"])
+    kept = lambda n: F.slice("path", F.lit(1), n)
+    number = lambda n: F.lit(n).cast("bigint")
+    tail = F.col("depth") > F.col("shared")
+    # What is left of each conversation where others join it: the end itself, or the stump of its tail.
+    stumps = cut_lineage(ended.select(
+        "shared", kept(F.col("shared")).alias("path"), "conv_id", "n_convs", F.when(tail, 1).otherwise(0).cast("bigint").alias("n_children"),
+        F.when(tail, 1).otherwise(0).cast("bigint").alias("n_leaves"),
+        F.when(tail, below(F.col("shared") + 1)).otherwise(0).cast("bigint").alias("saved_tokens")))
     levels, above = [], None
-    for depth in range(-1 if deepest is None else deepest, -1, -1):
-        nodes = ended.filter(F.col("depth") == depth).select("path", "conv_id", "n_convs", *(F.lit(0).cast("bigint").alias(c) for c in sums[1:]))
+    for depth in range(deepest, -1, -1):
+        nodes = stumps.filter(F.col("shared") == depth).drop("shared")
         if above is not None:
             nodes = nodes.unionByName(above.select(
-                F.slice("path", 1, depth).alias("path") if depth else F.array().cast(PATH).alias("path"),
-                "conv_id", "n_convs", F.lit(1).cast("bigint").alias("n_children"), "n_leaves", "saved_tokens"))
-        again = (F.col("n_convs") - 1) * F.coalesce(F.element_at("path", -1)["bytes"], F.lit(0)) if depth else F.lit(0)
+                kept(F.lit(depth)).alias("path"), "conv_id", "n_convs", number(1).alias("n_children"), "n_leaves", "saved_tokens"))
+        again = (F.col("n_convs") - 1) * F.element_at("path", -1)["bytes"] if depth else F.lit(0)
         above = cut_lineage(nodes.groupBy("path").agg(F.min("conv_id").alias("conv_id"), *(F.sum(c).alias(c) for c in sums))
                             .withColumn("n_leaves", F.when(F.col("n_children") == 0, 1).otherwise(F.col("n_leaves")).cast("bigint"))
                             .withColumn("saved_tokens", (F.col("saved_tokens") + again).cast("bigint")))
-        (k1, k2), (p1, p2) = node_id(F.col("path")), node_id(F.slice("path", 1, max(depth - 1, 0)) if depth > 1 else F.array().cast(PATH))
-        levels.append(above.select(F.lit(depth).cast("bigint").alias("depth"), k1.alias("k1"), k2.alias("k2"), p1.alias("p1"), p2.alias("p2"),
-                                   "conv_id", *sums))
-    if above is None:
-        return paths.sparkSession.createDataFrame([], (
-            "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, "
-            "saved_tokens bigint, ends_sha256 string"))
+        levels.append(named(above, number(depth), F.col("path"), kept(F.lit(max(depth - 1, 0))), sums))
+    top = above.first()["conv_id"]
     nodes = levels[0]
     for level in levels[1:]:
         nodes = nodes.unionByName(level)
-    top = above.first()["conv_id"]
-    # A hot parent's children lie in one join partition, which AQE splits; the root's need no join.
+    tails = named(ended.filter(tail).withColumn("d", F.explode(F.sequence(F.col("shared") + 1, F.col("depth"))))
+                  .withColumns({"n_children": (F.col("d") < F.col("depth")).cast("bigint"), "n_leaves": number(1),
+                                "saved_tokens": below(F.col("d")).cast("bigint")}),
+                  F.col("d").cast("bigint"), kept(F.col("d")), kept(F.col("d") - 1), sums, "shared", "d")
+    # Inside a tail the parent is the same conversation's; the root needs no join either. The children of another hot
+    # parent lie in one join partition, which AQE splits.
+    inner = tails.filter("d > shared + 1").drop("shared", "d").withColumn("parent_conv_id", F.col("conv_id"))
+    rest = nodes.unionByName(tails.filter("d = shared + 1").drop("shared", "d"))
     parents = nodes.filter("depth > 0 AND n_children > 0").select(
         F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
-    low = nodes.filter("depth > 1").join(parents, ["p1", "p2"])
-    high = nodes.filter("depth <= 1").withColumn("parent_conv_id", F.when(F.col("depth") == 1, F.lit(top)).cast("bigint"))
+    low = rest.filter("depth > 1").join(parents, ["p1", "p2"])
+    high = rest.filter("depth <= 1").withColumn("parent_conv_id", F.when(F.col("depth") == 1, F.lit(top)).cast("bigint"))
     k1, k2 = node_id(F.col("path"))
     hashes = joined_ids(paths.select(k1.alias("k1"), k2.alias("k2"), "conv_id"))
-    return (high.unionByName(low).join(hashes, ["k1", "k2"], "left")
+    return (high.unionByName(low).unionByName(inner).join(hashes, ["k1", "k2"], "left")
             .select("conv_id", "depth", "parent_conv_id", *sums, F.coalesce("ends_sha256", F.lit(EMPTY)).alias("ends_sha256")))
 
 
+def named(df: DataFrame, depth: Column, path: Column, parent: Column, sums: tuple[str, ...], *more: str) -> DataFrame:
+    """Nodes with 128-bit names of their own and their parent's prefix in place of the arrays."""
+    (k1, k2), (p1, p2) = node_id(path), node_id(parent)
+    return df.select(depth.alias("depth"), k1.alias("k1"), k2.alias("k2"), p1.alias("p1"), p2.alias("p2"), "conv_id", *sums,
+                     *(F.col(c).alias(c) for c in more))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of `conversations` after each has taken its first turns from the first of its five."""
     c = F.col("conv_id")

@@ -87,3 +87,11 @@ def test_long_conversation(spark):
     turns = [(c, t, "user", f"turn {t}") for c in (1, 2) for t in range(12 + c)]
     found = rows_of(prefixtrie.trie(prefixtrie.sequences(spark.createDataFrame(turns, SCHEMA))))
     assert found == brute({c: [("user", f"turn {t}") for t in range(12 + c)] for c in (1, 2)})
+
+
+def test_long_tails_and_copies(spark):
+    texts = {1: [*"ab", *(f"x{i}" for i in range(40))], 2: [*"ab"], 3: [*"ac", *(f"y{i}" for i in range(25))], 6: ["ü" * 9] * 30, 7: ["z"]}
+    texts |= {4: texts[3], 5: texts[3], 8: texts[1][:20]}
+    turns = [(c, i, "user", t) for c, own in texts.items() for i, t in enumerate(own)]
+    found = rows_of(prefixtrie.trie(prefixtrie.sequences(spark.createDataFrame(turns, SCHEMA))))
+    assert found == brute({c: [("user", t) for t in own] for c, own in texts.items()})
