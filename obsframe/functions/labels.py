@@ -26,15 +26,16 @@ def labels_text(labels: ColumnOrName) -> Column:
 def labels_key(labels: ColumnOrName) -> Column:
     """Sorted `k=v` lines: the join key for a label set (a MAP cannot be joined on).
 
-    Backslashes, line ends and equal signs in names and values are escaped, so different sets have different keys.
+    Equal signs in names and values, line ends in names and the mark of the escape itself are escaped: so a line
+    with an equal sign always starts a label, and different sets have different keys. Other values stay as they are.
     """
-    def escaped(text):
-        for mark, code in (("\\", "\\\\"), ("\n", "\\n"), ("=", "\\e")):
+    def escaped(text, *more):
+        for mark, code in (("\x01", "\x011"), ("=", "\x01e"), *more):
             text = F.replace(text, F.lit(mark), F.lit(code))
         return text
 
     return F.coalesce(
-        _joined(labels, lambda e: F.concat(escaped(e["key"]), F.lit("="), escaped(e["value"]), F.lit("\n")), ""), F.lit(""))
+        _joined(labels, lambda e: F.concat(escaped(e["key"], ("\n", "\x01n")), F.lit("="), escaped(e["value"]), F.lit("\n")), ""), F.lit(""))
 
 
 def series_id(name: ColumnOrName, labels: ColumnOrName) -> Column:
