@@ -9,7 +9,8 @@ similarity of 0.75 two sets share no bucket with probability (1 - 0.75^3)^24 = 2
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from obsframe.llm import common
 from obsframe.llm.components import components
-from obsframe.session import cut_lineage
+from obsframe.session import cut_lineage, ensure_checkpoint_dir, shuffle_width
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 24, 3
@@ -126,6 +127,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(100 * F.col("both") >= percent * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v"))
 
 
+def dealt(sets: DataFrame) -> tuple[DataFrame, Callable[[], object]]:
+    """`sets` as a table in buckets of their id, so that the joins of every round move pairs and not sets; and what
+    takes the table's name out of the catalog again. Its files lie in the shared checkpoint folder."""
+    spark, name, width = sets.sparkSession, f"near_sets_{uuid.uuid4().hex}", shuffle_width(sets.sparkSession)
+    (sets.repartition(width, "id").write.format("parquet").option("path", f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
+     .bucketBy(width, "id").sortBy("id").saveAsTable(name))
+    return spark.table(name), lambda: spark.sql(f"DROP TABLE {name}")
+
+
 def joined(label: DataFrame, links: DataFrame) -> DataFrame:
     """`label` (id, component) after the components that `links` (u, v) connect have become one."""
     if links.isEmpty():
@@ -155,7 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     hubs = firsts.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last")
     shared = cut_lineage(firsts.join(hubs.select("key", "hub"), "key"))
     wanted = cut_lineage(shared.select("id").distinct())
-    sets = cut_lineage(rows.join(wanted, "id", "left_semi").mapInArrow(full_sets, "id bigint, items array<bigint>"))
+    sets, forget = dealt(rows.join(wanted, "id", "left_semi").mapInArrow(full_sets, "id bigint, items array<bigint>"))
     size_of = shared.select(F.col("id").alias("hub"), F.col("n").alias("m")).distinct()
 
     # Texts of one repeated id are linked through it.
@@ -192,6 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         rest = rest.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
         salts *= 2
 
+    forget()
     named = (members.join(label.withColumnRenamed("id", "rep"), "rep", "left")
              .select("id", F.coalesce("component", "rep").alias("component")).distinct())
     return (all_.select("id", "n").join(named, "id", "left")
