@@ -58,6 +58,8 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.default = Tokenizer.from_file(path)
+        self.marks = [t.content for t in self.default.get_added_tokens_decoder().values()]
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         marked = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -107,6 +109,14 @@ class Encoder:
         self.pieces.update(zip(other, self.whole([" " + p for p in other])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text. One that holds the string of an added token goes to the library whole."""
+        marked = [any(m in t for m in self.marks) for t in texts]
+        if not any(marked):
+            return self.encode_plain(texts)
+        plain = iter(self.encode_plain([t for t, m in zip(texts, marked) if not m]))
+        return [self.packed(self.default.encode(t, add_special_tokens=False).ids) if m else next(plain) for t, m in zip(texts, marked)]
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
         parts, heads = [], []
         for text in texts:
             if self.doubtful.search(text):
@@ -143,8 +153,9 @@ def train_dictionary(docs: DataFrame, path: str, text: str = "text", docs_bound:
     that is too little to train on, the samples themselves are the dictionary; without any it is empty.
     """
     total = docs.count()
+    # Of equal texts, which are drawn together, one is taken.
     chosen = docs.select(text).filter(F.col(text).isNotNull()).filter(
-        common.luck(text) * total < docs_bound)
+        common.luck(text) * total < docs_bound).groupBy(F.xxhash64(text)).agg(F.first(text).alias(text)).select(text)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
