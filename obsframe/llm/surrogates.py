@@ -259,7 +259,8 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY, out: s
     results. One entity in a third of all texts is one row of the surrogate table; the join to it can be split.
     """
     name = out or text
-    found = docs.withColumn("_found", entities(F.col(text)))
+    # The patterns are the dear part: texts are written with what was found, and read again by each step.
+    found = cut_lineage(docs.withColumn("_found", entities(F.col(text))))
     own = docs.columns
     clean = found.filter(F.size("_found") == 0).withColumn("n_entities", F.lit(0)).withColumn(name, F.col(text)).drop("_found")
     hit = found.filter(F.size("_found") > 0).withColumn("_row", F.xxhash64(text, F.length(text)))
