@@ -3,8 +3,9 @@
 Every document is reduced in one pass to a 128-bit key of its shingle set and 24 band keys of three minima each.
 Documents of one set are one class from there on. Within a bucket only star edges are made, from the members to
 one hub; each is confirmed on the full sets, unless both ends share a component already from the bands before.
-Buckets whose members are then still in several components get further hubs, four times as many each round, until
-every two members share a component or have been compared. At a similarity of 0.75 two sets share no bucket with
+In buckets whose members are then still in several components all pairs between components are compared. Before
+that a member leaves that shares too few shingles with all other components together to be linked with any, and a
+pair is made only if sizes and parity bits of the two sets allow a link; both bounds are exact. At a similarity of 0.75 two sets share no bucket with
 probability (1 - 0.75^3)^24 = 2e-6, above it with less. Of two sets that fill the bins, the full sets are fetched
 only if at least 32 of the 72 minima agree: at 0.75 fewer do with a probability below 3e-7.
 """
@@ -17,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsframe.llm import common
@@ -30,6 +31,9 @@ BINS = BANDS * ROWS
 STEPS = (2,)        # after so many bands components are joined before the next bands make pairs
 AGREE = 32          # minima that two sets of FILLED or more shingles share before their full sets are compared
 FILLED = 4 * BINS
+SIGNS = [f"s{i}" for i in range(8)]     # 512 bits of each set: whether an odd number of its shingles falls to each
+SHARE = 2048            # members of a bucket that one task compares with the others of the bucket
+SEND_IDS = 1_000_000    # ids up to this are sent to every executor (about 50 MB), more are shuffled
 TOP = np.uint64(2**64 - 1)
 
 
@@ -88,10 +92,17 @@ def sketch(h: np.ndarray) -> np.ndarray:
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
-    key = np.arange(BANDS, dtype=np.uint64)
+    """One key for each band; the lowest five bits are the band's number."""
+    band = key = np.arange(BANDS, dtype=np.uint64)
     for column in values.reshape(BANDS, ROWS).T:
         key = mix(key * np.uint64(31) + column, 3)
-    return key.view(np.int64)
+    return (key & ~np.uint64(31) | band).view(np.int64)
+
+
+def signs(h: np.ndarray) -> np.ndarray:
+    """Parity bits of a set: two sets differ in at least as many shingles as their bits differ in places."""
+    odd = np.bincount((mix(h, 6) % np.uint64(64 * len(SIGNS))).astype(np.int64), minlength=64 * len(SIGNS)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def set_sums(h: np.ndarray) -> tuple[int, int]:
@@ -121,20 +132,55 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingles(t.as_py()) for t in part.column(1)]
             # 16 bits of each minimum tell unequal ones apart but for one in 65,536.
             minima = [mix(sketch(h), 4).astype("<u2").view(np.int16) if len(h) >= FILLED else np.empty(0, np.int16) for h in sets]
+            bits = np.array([signs(h) for h in sets]).T
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(minima, pa.list_(pa.int16())),
-                 pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["id", "minima", "items"])
+                [part.column(0), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(b, pa.int64()) for b in bits),
+                 pa.array(minima, pa.list_(pa.int16())),
+                 pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["id", "n", *SIGNS, "minima", "items"])
+
+
+def in_reach(percent: int) -> Column:
+    """Whether sizes n, m and parity bits s0.., t0.. of two sets allow a link; false only where there is none."""
+    apart = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(other(s)))) for s in SIGNS), F.lit(0))
+    return ((F.col("n") * 100 >= percent * F.col("m")) & (F.col("m") * 100 >= percent * F.col("n"))
+            & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)))
 
 
-def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """`pairs` (u, v) without those of long texts whose minima agree too seldom for links."""
-    left = sets.select(F.col("id").alias("u"), F.col("minima").alias("a"))
-    right = sets.select(F.col("id").alias("v"), F.col("minima").alias("b"))
+def other(sign: str) -> str:
+    return sign.replace("s", "t")
+
+
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """`pairs` (u, v) that are in reach, without those of long texts whose minima agree too seldom for links."""
+    left = sets.select(F.col("id").alias("u"), "n", *SIGNS, F.col("minima").alias("a"))
+    right = sets.select(F.col("id").alias("v"), F.col("n").alias("m"), *(F.col(s).alias(other(s)) for s in SIGNS), F.col("minima").alias("b"))
     agreeing = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda same: same))
-    return (pairs.join(left, "u").join(right, "v")
+    return (pairs.join(left, "u").join(right, "v").filter(in_reach(percent))
             .filter((F.size("a") == 0) | (F.size("b") == 0) | (agreeing >= AGREE)).select("u", "v"))
 
 
+def linkable(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """`rest` (key, id, component), with sizes, parity bits and the shares to cut their bucket into, without the
+    members that no set of their bucket in another component can be alike enough to.
+
+    What a set shares with one set of another component it shares with all of them together, so the shingles that
+    stand in several components bound every intersection. A repeated id has the sets of all its texts.
+    """
+    held = sets.join(rest.select("id", "component").distinct(), "id").select("id", "n", "component", F.explode("items").alias("item"))
+    across = held.groupBy("item").agg((F.min("component") < F.max("component")).cast("int").alias("across"))
+    most = held.join(across, "item").groupBy("id", "n").agg(F.sum("across").alias("most"))
+    known = rest.join(sets.select("id", "n", *SIGNS).join(most, ["id", "n"]), "id")
+    least = F.greatest(F.col("least"), F.col("n") * percent / 100)
+    buckets = known.groupBy("key").agg(F.min("n").alias("least"), F.ceil(F.count(F.lit(1)) / SHARE).alias("shares"))
+    return (known.join(buckets, "key")
+            .filter(F.col("most") * (100 + percent) >= percent * (F.col("n") + least)).drop("most", "least"))
+
+
+def sent(ids: DataFrame) -> DataFrame:
+    """Broadcast below a stated number of rows, so that texts stay where they are; beyond, Spark shuffles."""
+    return F.broadcast(ids) if ids.count() <= SEND_IDS else ids
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of `pairs` (u, v) whose full sets are alike enough."""
     left = sets.select(F.col("id").alias("u"), F.col("items").alias("a"))
@@ -178,13 +224,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = cut_lineage(linked.groupBy("k1", "k2").agg(
         F.min("id").alias("rep"), F.min("n").alias("n"), F.min("bands").alias("bands")))  # equal within a class
     # A repeated id may stand for several classes: each has its own rows here.
-    firsts = classes.select(F.col("rep").alias("id"), "n", F.posexplode("bands").alias("band", "key"))
+    firsts = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key")).repartition(shuffle_width(docs.sparkSession), "key")
     hubs = firsts.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last")
     shared = cut_lineage(firsts.join(hubs.select("key", "hub"), "key").distinct())
     wanted = cut_lineage(shared.select("id").distinct())
-    sets, forget = dealt(rows.join(wanted, "id", "left_semi").mapInArrow(
-        full_sets, "id bigint, minima array<smallint>, items array<bigint>"))
-    size_of = shared.select(F.col("id").alias("hub"), F.col("n").alias("m")).distinct()
+    bits = ", ".join(f"{s} bigint" for s in SIGNS)
+    sets, forget = dealt(rows.join(sent(wanted), "id", "left_semi").mapInArrow(
+        full_sets, f"id bigint, n bigint, {bits}, minima array<smallint>, items array<bigint>"))
 
     # Texts of one repeated id are linked through it.
     members = cut_lineage(linked.select("id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep").distinct())
@@ -194,31 +240,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         members.join(texts_of, "id").filter("rep <> lo").select(F.col("rep").alias("u"), F.col("lo").alias("v"))))
 
     def tested(pairs: DataFrame) -> DataFrame:
-        """Confirmed pairs (u, v) of members (id, n) and hubs (hub, m) that lie in different components so far."""
-        of_hub = label.select(F.col("id").alias("hub"), F.col("component").alias("other"))
-        apart = pairs.join(label, "id").join(of_hub, "hub").filter("component <> other").filter(
-            (F.col("n") * 100 >= percent * F.col("m")) & (F.col("m") * 100 >= percent * F.col("n")))
-        apart = apart.select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
-        return cut_lineage(confirmed(cut_lineage(likely(apart, sets)), sets, percent))
+        """Those of `pairs` (u, v) that are linked."""
+        return cut_lineage(confirmed(cut_lineage(likely(pairs, sets, percent)), sets, percent))
 
     # One star for each bucket. After the first bands most copies share a component and need no further pair.
-    stars = cut_lineage(shared.filter("id <> hub").join(size_of, "hub").select("band", "id", "n", "hub", "m"))
+    ends = F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")
+    stars = shared.filter("id <> hub").select(F.col("key").bitwiseAND(31).alias("band"), "id", "hub")
     for low, high in zip((0, *STEPS), (*STEPS, BANDS)):
-        label = joined(label, tested(stars.filter((F.col("band") >= low) & (F.col("band") < high)).drop("band").distinct()))
-
-    rest, salts = shared.filter("id <> hub").select("key", "id", "n"), 1
-    while True:
-        named = rest.join(label, "id")
-        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        rest = cut_lineage(named.join(mixed.select("key"), "key", "left_semi").select("key", "id", "n"))
-        if rest.isEmpty():
-            break
-        salt = F.pmod(F.xxhash64("id", F.lit(salts)), F.lit(salts))
-        hubs = cut_lineage(rest.groupBy("key", salt.alias("salt")).agg(F.min("id").alias("hub")).select("key", "hub"))
-        pairs = rest.join(hubs, "key").filter("id <> hub").select("id", "n", "hub").distinct().join(size_of, "hub")
-        label = joined(label, tested(pairs))
-        rest = rest.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        salts *= 4
+        of_hub = label.select(F.col("id").alias("hub"), F.col("component").alias("other"))
+        some = stars.filter((F.col("band") >= low) & (F.col("band") < high)).select("id", "hub").distinct()
+        label = joined(label, tested(some.join(label, "id").join(of_hub, "hub").filter("component <> other").select(*ends).distinct()))
+
+    named = shared.filter("id <> hub").select("key", "id").join(label, "id")
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    rest = cut_lineage(named.join(mixed.select("key"), "key", "left_semi").select("key", "id", "component"))
+    if not rest.isEmpty():
+        rest = cut_lineage(linkable(rest, sets, percent))
+        ones = rest.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")))
+        others = rest.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"), F.col("id").alias("hub"),
+                             F.col("component").alias("other"), F.col("n").alias("m"), *(F.col(s).alias(other(s)) for s in SIGNS))
+        pairs = ones.join(others, ["key", "share"]).filter(
+            (F.col("id") > F.col("hub")) & (F.col("component") != F.col("other")) & in_reach(percent))
+        label = joined(label, tested(pairs.select(*ends).distinct()))
 
     forget()
     named = (members.join(label.withColumnRenamed("id", "rep"), "rep", "left")

@@ -61,6 +61,35 @@ def test_chain_through_a_hub_that_is_unlike(spark, docs):
     assert {k: r["component_id"] for k, r in by_id(neardup.near_duplicates(docs(rows))).items()} == brute(rows)[0]
 
 
+def test_bounds_never_part_a_link_and_leave_few_pairs(spark, docs, monkeypatch):
+    """Texts that share a long passage are in common buckets, but only those that may be linked are paired."""
+    monkeypatch.setattr(neardup, "SHARE", 4)
+    passage, rows = prose("passage", 40), []
+    for g in range(60):
+        rows.append((g, passage + " " + prose(f"own {g}", 50 + g)))
+    base = prose("base", 130)
+    rows += [(100 + g, changed(base, g % 12, g)) for g in range(60)]
+    seen = []
+    likely = neardup.likely
+    monkeypatch.setattr(neardup, "likely", lambda pairs, *rest: seen.append(pairs.collect()) or likely(pairs, *rest))
+    want, _ = brute(rows)
+    got = by_id(neardup.near_duplicates(docs(rows)))
+    assert {k: r["component_id"] for k, r in got.items()} == want
+    # All pairs across components of a bucket were compared before, about 1,700 of the texts with the passage.
+    unlike = [r for made in seen[2:] for r in made if r["u"] < 100]
+    assert len(unlike) < 60
+
+
+def test_parity_bits_bound_the_difference():
+    rng = random.Random(5)
+    import numpy as np
+    for n in (1, 10, 300):
+        a = {rng.randrange(2 ** 63) for _ in range(n)}
+        b = {x for x in a if rng.random() < 0.8} | {rng.randrange(2 ** 63) for _ in range(n // 5)}
+        x, y = (neardup.signs(np.array(sorted(s), np.uint64)) for s in (a, b))
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a ^ b)
+
+
 def test_edges(spark, docs):
     base = prose(1, 50)
     assert neardup.near_duplicates(docs([(1, "x")]).limit(0)).count() == 0
