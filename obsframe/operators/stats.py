@@ -275,65 +275,69 @@ def anomalies_backfill(metrics: DataFrame, window_ms: int = BASELINE_MS, min_poi
                        z_limit: float = ANOMALY_Z) -> DataFrame:
     """Every point of a table tested against the points of its series in `[ts - window, ts)`.
 
-    One event per series and millisecond, for the last arrival. Each series is cut into
-    time buckets one window long and a bucket also receives the rows of the one before
-    it, so a hot series is spread over its buckets. Points are first reduced to one row
-    per millisecond; inside a bucket the trailing range is the difference of two running
-    sums of centred moments, read at the point and at a marker placed at `ts - window`.
-    A flat baseline is recognised by counting value changes, which is exact.
+    One event per series and millisecond, for the last arrival. Points are first reduced to one row per
+    millisecond. Each series is cut into time buckets one window long, so the trailing range of a point is the head
+    of its own bucket, before the point, and the tail of the bucket before, from a marker at `ts - window` on. Both
+    are running moments about the mean of their bucket, each with one sort of narrow rows and in a stage of its own;
+    what a task holds is in proportion to its rows. A flat baseline is recognised by its extremes, which is exact.
     """
-    W = window_ms
+    W, series = window_ms, ["name", "labels_key"]
     # A running sum would never lose a NaN or infinity again, so these are counted beside it: a baseline that
     # holds one has no deviation and gives no event.
     finite = ~F.isnan("value") & (F.abs("value") != float("inf"))
     number = F.when(finite, F.col("value"))
-    ms = keyed(metrics).groupBy("name", "labels_key", "ts_ms").agg(
+    ms = keyed(metrics).filter("ts_ms IS NOT NULL").groupBy(*series, "ts_ms").agg(
         F.count(number).alias("n"), F.coalesce(F.avg(number), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.var_pop(number), F.lit(0.0)).alias("_vp"), F.count(F.when(~finite, 1)).alias("bad"),
+        F.coalesce(F.var_pop(number), F.lit(0.0)).alias("vp"), F.count(F.when(~finite, 1)).alias("bad"),
         F.max_by("value", "seq").alias("value"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    own = F.floor(F.col("ts_ms") / F.lit(W)).cast("long")
-    ms = ms.withColumn("_b", F.explode(F.array(
-        F.struct(own.alias("bucket"), F.lit(True).alias("own")),
-        F.struct((own + 1).alias("bucket"), F.lit(False).alias("own")))))
-    ms = ms.select("*", "_b.bucket", "_b.own").drop("_b")
-    group = Window.partitionBy("name", "labels_key", "bucket")
-    order = group.orderBy("ts_ms")
-    centre = F.sum(F.col("n") * F.col("mean")).over(group) / F.greatest(F.sum("n").over(group), F.lit(1))
-    ms = ms.withColumn("_d", F.col("mean") - centre)
-    differs = F.coalesce((F.lead("lo").over(order) != F.col("hi")).cast("long"), F.lit(0))
-    ms = ms.withColumn("_next", differs)
-    ms = ms.select(
-        "name", "labels_key", "bucket", "own", "ts_ms", "value", "n", "bad", centre.alias("_c"),
-        (F.col("n") * F.col("_d")).alias("s"),
-        (F.col("n") * (F.col("_vp") + F.col("_d") * F.col("_d"))).alias("q"),
-        (F.col("lo") != F.col("hi")).cast("long").alias("mixed"), F.col("_next").alias("step"),
-        F.coalesce(F.lag("_next").over(order), F.lit(0)).alias("step_before"))
-    zero = [F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"),
-            F.lit(0).cast("long").alias("mixed"), F.lit(0).cast("long").alias("step")]
-    point = F.struct(F.col("ts_ms").alias("pos"), F.lit(1).alias("kind"), "n", "bad", "s", "q", "mixed", "step")
-    marker = F.struct((F.col("ts_ms") - W).alias("pos"), F.lit(0).alias("kind"), *zero)
-    rows = ms.select("name", "labels_key", "bucket", "own", "ts_ms", "value", "_c", "step_before",
-                     F.explode(F.when(F.col("own"), F.array(point, marker)).otherwise(F.array(point))).alias("p"))
-    rows = rows.select("*", "p.*").drop("p")
-    before = group.orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ["n", "bad", "s", "q", "mixed", "step"]
-    rows = rows.select("name", "labels_key", "bucket", "own", "ts_ms", "value", "_c", "step_before", "kind",
-                       *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in sums])
-    sign = F.when(F.col("kind") == 1, 1).otherwise(-1)
-    at = rows.filter("own").groupBy("name", "labels_key", "bucket", "ts_ms").agg(
-        F.max("value").alias("value"), F.max("_c").alias("_c"), F.max("step_before").alias("step_before"),
-        *[F.sum(sign * F.col(c)).alias(c) for c in sums])
+    moments = ["n", "mean", "vp", "bad", "lo", "hi"]
+    heads = ms.select(*series, "ts_ms", "value", *moments, F.col("ts_ms").alias("pos"))
+    marker = F.struct((F.col("ts_ms") - W).alias("pos"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n"),
+                      F.lit(0.0).alias("mean"), F.lit(0.0).alias("vp"), F.lit(0).cast("long").alias("bad"),
+                      F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    point = F.struct(F.col("ts_ms").alias("pos"), F.lit(1).alias("kind"), *moments)
+    tails = ms.select(*series, F.explode(F.array(point, marker)).alias("p")).select(*series, "p.*")
+    head = _moments_before(heads, W, ["pos"]).select(*series, "ts_ms", "value", *moments)
+    tail = _moments_before(tails, W, [F.desc("pos"), F.desc("kind")]).filter("kind = 0").select(
+        *series, (F.col("pos") + W).alias("ts_ms"), F.lit(None).cast("double").alias("value"), *moments)
     n = F.col("n")
-    at = at.filter((F.col("bad") == 0) & ~F.isnan("value") & (n >= F.lit(max(1, min_points - 1)))).withColumn("_mean", F.col("s") / n)
-    var = F.greatest(F.lit(0.0), F.col("q") / n - F.col("_mean") * F.col("_mean"))
-    flat = (F.col("mixed") == 0) & (F.col("step") - F.col("step_before") <= 0)
-    at = at.withColumn("expected", F.col("_mean") + F.col("_c")).withColumn("_sd", F.sqrt(var))
-    at = at.filter(~flat & (F.col("_sd") >= 1e-10))
+    at = head.unionByName(tail).groupBy(*series, "ts_ms").agg(
+        F.max("value").alias("value"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"), F.sum(n * F.col("mean")).alias("_sum"), F.sum(n * F.col("vp")).alias("_within"),
+        (F.max("mean") - F.min("mean")).alias("_far"), F.sum(n * n).alias("_squares"))
+    at = at.filter((F.col("bad") == 0) & ~F.isnan("value") & (n >= F.lit(max(1, min_points - 1))))
+    # The moments of two parts: those within each, and n1 * n2 / n times the squared distance of the means.
+    between = (n * n - F.col("_squares")) / 2 / n * F.col("_far") * F.col("_far")
+    at = at.withColumn("expected", F.col("_sum") / n).withColumn(
+        "_sd", F.sqrt(F.greatest(F.lit(0.0), (F.col("_within") + between) / n)))
+    at = at.filter((F.col("lo") != F.col("hi")) & (F.col("_sd") >= 1e-10))
     at = at.withColumn("score", F.abs(F.col("value") - F.col("expected")) / F.col("_sd"))
     return at.filter(F.col("score") >= z_limit).select(
         "name", "labels_key", "ts_ms", "value", "expected", "score", severity(F.col("score")).alias("severity"))
 
 
+def _moments_before(rows: DataFrame, width: int, order: list) -> DataFrame:
+    """`rows` with n, mean, vp, bad, lo and hi of the rows before each in its series and bucket of `pos`.
+
+    The mean is null where there are none. One sort serves both windows.
+    """
+    part = Window.partitionBy("name", "labels_key", F.floor(F.col("pos") / F.lit(width))).orderBy(*order)
+    whole = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = part.rowsBetween(Window.unboundedPreceding, -1)
+    centre = F.sum(F.col("n") * F.col("mean")).over(whole) / F.greatest(F.sum("n").over(whole), F.lit(1))
+    rows = rows.withColumn("_c", centre)
+    d = F.col("mean") - F.col("_c")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rows = rows.withColumns({
+        "_n": zero(F.sum("n").over(before)), "_bad": zero(F.sum("bad").over(before)),
+        "_s": F.sum(F.col("n") * d).over(before), "_q": F.sum(F.col("n") * (F.col("vp") + d * d)).over(before),
+        "_lo": F.min("lo").over(before), "_hi": F.max("hi").over(before)})
+    shift = F.try_divide("_s", "_n")
+    return rows.withColumns({
+        "n": F.col("_n"), "bad": F.col("_bad"), "lo": F.col("_lo"), "hi": F.col("_hi"), "mean": F.col("_c") + shift,
+        "vp": F.greatest(F.lit(0.0), F.try_divide("_q", "_n") - shift * shift)})
+
+
 # ---- change points -----------------------------------------------------------------------------
 
 def change_points(metrics: DataFrame, as_of: int, lookback_ms: int = CHANGE_LOOKBACK_MS,

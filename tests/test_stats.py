@@ -95,6 +95,22 @@ def test_backfill_skips_flat_baselines(points):
     assert ST.anomalies_backfill(points(rows)).count() == 0
 
 
+def test_backfill_holds_one_sort_in_a_stage(points):
+    """Sorts of one stage hold its rows at the same time: there were two, with a copy of each row for the next bucket."""
+    found = ST.anomalies_backfill(points(series("m", [10.0, 11.0] * 9)))
+    stages = found._jdf.queryExecution().executedPlan().toString().split("Exchange ")
+    assert max(s.count("Sort [") for s in stages) == 1
+
+
+def test_backfill_across_a_bucket_edge(points):
+    """The trailing range is a tail of one bucket and a head of the next; both alone are flat, together they are not."""
+    edge = NOW // (30 * MIN) * 30 * MIN
+    rows = [("m", {}, edge - 10 * MIN + i * MIN, v) for i, v in enumerate([10.0] * 10 + [12.0] * 10 + [40.0])]
+    got = ST.anomalies_backfill(points(rows)).collect()
+    assert [(r["ts_ms"] - edge, r["expected"], r["score"]) for r in got][-1] == (
+        10 * MIN, pytest.approx(11.0), pytest.approx(29.0))
+
+
 def test_change_point(points):
     m = points(series("step", [10.0, 11.0] * 6 + [50.0, 51.0] * 6) + series("noise", [1.0, 2.0] * 12) + series("few", [1.0] * 5 + [9.0] * 5))
     got = ST.change_points(m, NOW, slices=3).collect()
