@@ -77,3 +77,33 @@ def test_text_without_repeats_and_edges(spark, docs):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {2: "same line of text\nother", 3: "new\n\n", 4: None, 5: ""}
     null = linededup.fuzzy_lines(docs([(None, "same line of text"), (0, "same line of text")])).collect()
     assert {r["doc_id"]: (r["kept"], r["first_doc_id"]) for r in null} == {None: (True, None), 0: (False, None)}
+
+
+def test_bits_never_part_linked_lines(spark, docs):
+    draw = random.Random(4)
+    texts = []
+    for i in range(30):
+        line = prose(f"b{i}", draw.randrange(1, 40)) + " same words again" * draw.randrange(9)
+        for _ in range(3):
+            at = draw.randrange(len(line))
+            texts.append(line[:at] + draw.choice(["", "x", "yz"]) + line[at + draw.randrange(3):])
+    texts = list(dict.fromkeys(texts))
+    made = {r["node"]: r for r in linededup.sketches(spark.createDataFrame(list(enumerate(texts)), "node bigint, norm string"), 8).collect()}
+    sets = [{t[i:i + 8] for i in range(max(1, len(t) - 7))} for t in texts]
+    linked = 0
+    for u, a in enumerate(sets):
+        for v, b in enumerate(sets[:u]):
+            apart = sum(((made[u][s] ^ made[v][s]) & (2**64 - 1)).bit_count() for s in linededup.SIGNS)
+            assert apart <= len(a ^ b)
+            linked += 100 * len(a & b) >= 75 * len(a | b)
+    assert linked > 20
+
+
+def test_bucket_of_unlinked_lines_takes_two_confirmations(spark, docs, monkeypatch):
+    calls, alike = [], linededup.alike
+    monkeypatch.setattr(linededup, "alike", lambda *a: calls.append(1) or alike(*a))
+    monkeypatch.setattr(linededup, "SHARE", 8)
+    common = prose("shared", 12)
+    rows = [(i, common + " " + prose(f"own{i // 2}", 12) + "!" * (i % 2)) for i in range(50)]
+    assert {k: (r["first_doc_id"], r["first_line_no"]) for k, r in lines(linededup.fuzzy_lines(docs(rows))).items()} == brute(rows)
+    assert len(calls) <= 2
