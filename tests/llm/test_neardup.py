@@ -116,3 +116,24 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_components_of_small_tables_take_few_partitions(spark, monkeypatch):
+    from obsframe.llm import components as module
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 200)], "u bigint, v bigint")
+    monkeypatch.setattr(module, "shuffle_width", lambda spark: 40)
+    seen, cut = [], module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda df: seen.append(df.rdd.getNumPartitions()) or cut(df))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r["component"] for r in components(edges).collect()} == {1}
+        assert max(seen[1:]) <= 4
+        monkeypatch.setattr(module, "TASK_ROWS", 25)
+        seen.clear()
+        assert {r["component"] for r in components(edges).collect()} == {1}
+        assert max(seen[1:]) == 8
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
