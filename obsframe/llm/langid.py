@@ -26,8 +26,8 @@ PENALTY = 12.0
 TRAIN_ROWS = 4000        # expected number of training texts of each language
 SCRIPT_SHARE = 0.01      # a language is written in a script that has this share of its letters
 OUTSIDE = 1000.0         # what a word in another script costs a language
-BLOCK = 1 << 18          # letters scored at once
-CHUNK = 24 << 20         # bytes of text labelled at once
+BLOCK = 1 << 16          # letters scored at once
+CHUNK = 6 << 20          # bytes of text labelled at once
 
 # First code point of Unicode script ranges (letters); 0 is any other script.
 SCRIPT_STARTS = [

@@ -66,3 +66,16 @@ def test_viterbi_is_the_best_path():
         for _ in range(b - a):
             paths = [(*p, x) for p in paths for x in range(3)]
         assert abs(max(map(value, paths)) - value(tuple(got[a:b]))) < 1e-9
+
+
+def test_labelling_holds_a_few_megabytes_at_once():
+    import pyarrow as pa
+    texts = pa.array([" ".join([f"word{i}", "ein", "haus", "the", "house"] * 400) for i in range(1200)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), texts], ["id", "text"])
+    parts = list(langid.chunks(batch))
+    assert sum(p.num_rows for p in parts) == 1200
+    assert max(sum(map(len, p.column(1).to_pylist())) for p in parts) <= 7 << 20
+    rng = np.random.default_rng(1)
+    model = langid.Model(["a", "b"], rng.random((langid.BUCKETS, 2)).astype(np.float32), np.ones((len(langid.SCRIPTS), 2), bool))
+    whole = langid.label_batch(texts, model, 12.0).to_pylist()
+    assert [x for p in parts for x in langid.label_batch(p.column(1), model, 12.0).to_pylist()] == whole
