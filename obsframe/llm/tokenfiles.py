@@ -100,9 +100,10 @@ class Encoder:
         if len(self.tokens) > KNOWN:
             self.tokens.clear()
         # Outside the Latin letters, library and pattern might know different letters: such pieces go whole.
-        own = [p for p in new if self.plain.fullmatch(" " + p)]
+        # ASCII letters alone and digits alone are one pre-token.
+        own = [p for p in new if p.isascii() and p.isalnum() or self.plain.fullmatch(" " + p)]
         other = list(set(new).difference(own))
-        split = [self.pre_token.findall(" " + p) for p in own]
+        split = [[" " + p] if p.isascii() and (p.isalpha() or p.isdigit()) else self.pre_token.findall(" " + p) for p in own]
         self.learn_tokens(sorted({t for s in split for t in s}.difference(self.tokens)))
         get = self.tokens.__getitem__
         self.pieces.update((p, b"".join(map(get, s))) for p, s in zip(own, split))

@@ -70,3 +70,20 @@ def test_encoder_on_any_text(texts):
     own = tf.encoder(tf.vocabulary())
     want = [own.packed(own.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
     assert own.encode(texts) == want
+
+
+def test_letters_and_digits_alone_need_no_pattern():
+    from tokenizers import Tokenizer
+    path = tf.vocabulary()
+    own, asked = tf.Encoder(path), []
+
+    class Counting:
+        def findall(self, text, real=own.pre_token):
+            asked.append(text)
+            return real.findall(text)
+    own.pre_token = Counting()
+    texts = ["x plain WORDS 123 007 a1 b2c 9lives don't Straße 12½ ² x\x0by end.", "s 1  2 \n3 the\tx ABC 4,5"]
+    library = Tokenizer.from_file(path)
+    got = [list(np.frombuffer(raw, own.width)) for raw in own.encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not {" plain", " WORDS", " 123", " ABC"} & set(asked)
