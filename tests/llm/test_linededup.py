@@ -107,3 +107,11 @@ def test_bucket_of_unlinked_lines_takes_two_confirmations(spark, docs, monkeypat
     rows = [(i, common + " " + prose(f"own{i // 2}", 12) + "!" * (i % 2)) for i in range(50)]
     assert {k: (r["first_doc_id"], r["first_line_no"]) for k, r in lines(linededup.fuzzy_lines(docs(rows))).items()} == brute(rows)
     assert len(calls) <= 2
+
+
+def test_bits_are_kept_only_for_lines_that_share_a_bucket(spark, docs, monkeypatch):
+    asked, real = [], linededup.sketches
+    monkeypatch.setattr(linededup, "sketches", lambda texts, k: asked.append(texts) or real(texts, k))
+    rows = [(i, f"{i} " + prose(f"alone{i}", 30)) for i in range(20)] + [(100 + i, prose("two", 30) + "!" * i) for i in range(2)]
+    assert {k: (r["first_doc_id"], r["first_line_no"]) for k, r in lines(linededup.fuzzy_lines(docs(rows))).items()} == brute(rows)
+    assert asked and all(2 <= texts.count() < 10 for texts in asked)
