@@ -9,11 +9,14 @@ vocabularies over 65,536), so one short document is read by decoding one slice o
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 import types
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +34,23 @@ DICTIONARY_BYTES = 1 << 16
 SAMPLE_DOCS = 2000           # expected number of documents the dictionary is trained on
 SAMPLE_IDS = 2048            # ids taken of each, from a place that depends on its text
 SHARD_BYTES = 2 << 20        # a shard is closed once its frames reach this
-KNOWN = 700_000              # cached pieces; the cache starts afresh beyond
+KNOWN = 300_000             # cached pieces, and as many pre-tokens; beyond, the cache starts afresh or keeps the more frequent half
+GROUP_CHARS = 1 << 20       # characters of plain texts that are cut into pre-tokens at once
+LAST_PLAIN = "\u024f"       # up to here, the end of the Latin letters, library and patterns know the same letters
 LEVEL = 3
 
 # Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRE_TOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def plain_pre_token() -> re.Pattern:
+    """PRE_TOKEN for characters up to LAST_PLAIN, with their classes spelled out: twice as fast as looking them up."""
+    def named(kind: str) -> str:
+        return "".join(re.escape(chr(i)) for i in range(ord(LAST_PLAIN) + 1) if regex.fullmatch(kind, chr(i)))
+    letter, digit, space = named(r"\p{L}"), named(r"\p{N}"), named(r"\s")
+    return re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
 def per_worker(key: tuple, make: Callable[[], object]) -> object:
     """An object that lives as long as the Python worker, so that its caches outlast a task."""
     holder = sys.modules.setdefault("_token_files_worker", types.ModuleType("_token_files_worker"))
@@ -50,8 +63,9 @@ def per_worker(key: tuple, make: Callable[[], object]) -> object:
 class Encoder:
     """Ids of whole texts from a `tokenizers` file, each distinct piece encoded once.
 
-    Pre-tokens are independent of each other, and a space after a non-space always starts one. So a text is cut
-    at such spaces, pieces are cut into pre-tokens, and only new pre-tokens go to the library.
+    Pre-tokens are independent of each other. A text of plain characters is cut into them at once; each has a number,
+    and the ids of all numbers lie in one array. In other texts a space after a non-space always starts a pre-token, so
+    they are cut at such spaces and pieces are cut into pre-tokens. Only new pre-tokens go to the library.
     """
 
     def __init__(self, path: str):
@@ -68,7 +82,13 @@ class Encoder:
         self.after_space = regex.compile(r"(?<=\S)(?= )")
         self.doubtful = regex.compile(r"\s ")
         self.pre_token = regex.compile(PRE_TOKEN)
-        self.plain = regex.compile(" [\t\n\r!-ɏ]+")
+        self.plain = regex.compile(f" [\t\n\r!-{LAST_PLAIN}]+")
+        self.plain_text = re.compile(f"[\t\n\r -{LAST_PLAIN}]*")
+        self.plain_pre_token = plain_pre_token()
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
+        self.pool = np.empty(0, self.width)                          # ids of pre-tokens, one after the other
+        self.starts, self.sizes, self.seen = (np.empty(0, np.int64) for _ in range(3))   # by number
         self.pieces: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
 
@@ -78,6 +98,68 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def numbered_ids(self, new: list[str]) -> list[np.ndarray]:
+        """Ids of each of the plain pre-tokens `new`. Most go to the library in long strings, whose ids are cut again
+        at tokens with a space in front or at line ends that separate pre-tokens without white space."""
+        kinds = [(1 if t[0] == " " else 2) * (not t[-1].isspace()) for t in new]
+        out: list[np.ndarray] = [None] * len(new)
+        for kind in (1, 2, 0):
+            every = sorted((i for i, k in enumerate(kinds) if k == kind), key=new.__getitem__)   # neighbours share merges
+            for at in range(0, len(every), 64):
+                part = every[at:at + 64]
+                texts = [new[i] for i in part]
+                if kind and (kind == 1 or len(self.newline) == 1):
+                    ids = np.frombuffer(self.whole(["".join(texts) if kind == 1 else "\n".join([*texts, ""])])[0], self.width)
+                    cuts = np.flatnonzero(self.opens[ids] if kind == 1 else ids == self.newline[0])
+                    if len(cuts) == len(part):
+                        ends = [*cuts[1:].tolist(), len(ids)] if kind == 1 else cuts.tolist()
+                        begins = cuts.tolist() if kind == 1 else [0, *(cuts[:-1] + 1).tolist()]
+                        for i, a, b in zip(part, begins, ends):
+                            out[i] = ids[a:b]
+                        continue
+                for i, raw in zip(part, self.whole(texts)):
+                    out[i] = np.frombuffer(raw, self.width)
+        return out
+
+    def learn_numbers(self, new: list[str]) -> None:
+        """Ids of pre-tokens that have just got the numbers after the known ones."""
+        ids = self.numbered_ids(new)
+        sizes = np.array([len(i) for i in ids], np.int64)
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        self.pool = np.concatenate([self.pool, *ids])
+
+    def forget(self) -> None:
+        """Keep the more frequent half of the pre-tokens, under new numbers."""
+        keep = np.sort(np.argsort(-self.seen, kind="stable")[:KNOWN // 2])
+        names = list(self.numbers)
+        sizes = self.sizes[keep]
+        self.pool = self.gathered(keep)
+        self.numbers = defaultdict(count(len(keep)).__next__, zip((names[i] for i in keep.tolist()), range(len(keep))))
+        self.starts, self.sizes, self.seen = np.cumsum(sizes) - sizes, sizes, self.seen[keep] // 2
+
+    def gathered(self, at: np.ndarray) -> np.ndarray:
+        """The ids of pre-tokens with these numbers, one after the other."""
+        sizes = self.sizes[at]
+        before = np.cumsum(sizes) - sizes
+        return self.pool[np.repeat(self.starts[at] - before, sizes) + np.arange(sizes.sum())]
+
+    def encode_numbered(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts of plain characters."""
+        found = list(map(self.plain_pre_token.findall, texts))
+        of_text, before = np.array([0, *map(len, found)]).cumsum(), len(self.numbers)
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(found)), np.int64, of_text[-1])
+        new = len(self.numbers) - before
+        if new:
+            self.learn_numbers(list(islice(reversed(self.numbers), new))[::-1])
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        raw = self.gathered(at).tobytes()
+        cuts = (np.concatenate([[0], self.sizes[at].cumsum()])[of_text] * self.width.itemsize).tolist()
+        if len(self.numbers) > KNOWN:
+            self.forget()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def learn_tokens(self, new: list[str]) -> None:
         spaced = [t for t in new if t[0] == " " and len(t) > 1 and not t[1].isspace()]
         for at in range(0, len(spaced), 512):
@@ -111,13 +193,23 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text. One that holds the string of an added token goes to the library whole."""
-        marked = [any(m in t for m in self.marks) for t in texts]
-        if not any(marked):
-            return self.encode_plain(texts)
-        plain = iter(self.encode_plain([t for t, m in zip(texts, marked) if not m]))
-        return [self.packed(self.default.encode(t, add_special_tokens=False).ids) if m else next(plain) for t, m in zip(texts, marked)]
-
-    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        ways: dict[Callable, list[int]] = {self.encode_marked: [], self.encode_numbered: [], self.encode_pieces: []}
+        for i, t in enumerate(texts):
+            way = (self.encode_marked if any(m in t for m in self.marks)
+                   else self.encode_numbered if self.plain_text.fullmatch(t) else self.encode_pieces)
+            ways[way].append(i)
+        for way, rows in ways.items():
+            groups = np.cumsum([len(texts[i]) for i in rows]) // GROUP_CHARS
+            for part in np.split(np.array(rows, np.int64), np.flatnonzero(np.diff(groups)) + 1):
+                for i, raw in zip(part.tolist(), way([texts[i] for i in part.tolist()]) if len(part) else ()):
+                    out[i] = raw
+        return out
+
+    def encode_marked(self, texts: list[str]) -> list[bytes]:
+        return [self.packed(self.default.encode(t, add_special_tokens=False).ids) for t in texts]
+
+    def encode_pieces(self, texts: list[str]) -> list[bytes]:
         parts, heads = [], []
         for text in texts:
             if self.doubtful.search(text):

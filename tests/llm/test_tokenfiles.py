@@ -87,3 +87,23 @@ def test_letters_and_digits_alone_need_no_pattern():
     got = [list(np.frombuffer(raw, own.width)) for raw in own.encode(texts)]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert not {" plain", " WORDS", " 123", " ABC"} & set(asked)
+
+
+def test_known_pre_tokens_stay_bounded(reference, monkeypatch):
+    monkeypatch.setattr(tf, "KNOWN", 200)
+    own = tf.Encoder(tf.vocabulary())
+    for i in range(12):
+        texts = [f"{prose(j, 4)} w{i * 9 + j}x of\nLine{j * i}'s end... {i}{j}\n\n Ünd so\x85on ²{j} !" for j in range(9)] + ["", "  ", "\nat", "漢 mixed"]
+        assert [list(np.frombuffer(raw, own.width)) for raw in own.encode(texts)] == [reference(t) for t in texts]
+        assert 0 < len(own.numbers) <= 200 and len(own.numbers) == len(own.sizes) and own.sizes.sum() == len(own.pool)
+    assert len(own.pieces) < 50  # plain texts leave no pieces behind
+
+
+def test_texts_of_many_pieces_are_grouped(reference, monkeypatch):
+    monkeypatch.setattr(tf, "GROUP_CHARS", 300)
+    own, asked = tf.Encoder(tf.vocabulary()), []
+    real = own.encode_numbered
+    monkeypatch.setattr(own, "encode_numbered", lambda texts: asked.append(sum(map(len, texts))) or real(texts))
+    texts = [prose(i, 20) for i in range(30)]
+    assert [list(np.frombuffer(raw, own.width)) for raw in own.encode(texts)] == [reference(t) for t in texts]
+    assert len(asked) > 3 and max(asked) < 300 + 2 * max(map(len, texts))
