@@ -14,9 +14,7 @@ import sys
 import types
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +33,7 @@ SAMPLE_DOCS = 2000           # expected number of documents the dictionary is tr
 SAMPLE_IDS = 2048            # ids taken of each, from a place that depends on its text
 SHARD_BYTES = 2 << 20        # a shard is closed once its frames reach this
 KNOWN = 300_000             # cached pieces, and as many pre-tokens; beyond, the cache starts afresh or keeps the more frequent half
-GROUP_CHARS = 1 << 20       # characters of plain texts that are cut into pre-tokens at once
+GROUP_CHARS = 1 << 22       # characters of plain texts that are cut into pre-tokens at once
 LAST_PLAIN = "\u024f"       # up to here, the end of the Latin letters, library and patterns know the same letters
 LEVEL = 3
 
@@ -43,12 +41,31 @@ LEVEL = 3
 PRE_TOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def plain_pre_token() -> re.Pattern:
-    """PRE_TOKEN for characters up to LAST_PLAIN, with their classes spelled out: twice as fast as looking them up."""
-    def named(kind: str) -> str:
-        return "".join(re.escape(chr(i)) for i in range(ord(LAST_PLAIN) + 1) if regex.fullmatch(kind, chr(i)))
-    letter, digit, space = named(r"\p{L}"), named(r"\p{N}"), named(r"\s")
-    return re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+")
+def plain_classes() -> np.ndarray:
+    """Class of each character up to LAST_PLAIN in PRE_TOKEN: 0 letter, 1 number, 2 other, 3 white space."""
+    kinds = (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]", r"\s")
+    return np.array([next(k for k, kind in enumerate(kinds) if regex.fullmatch(kind, chr(i))) for i in range(ord(LAST_PLAIN) + 1)], np.uint8)
+
+
+def pre_token_starts(codes: np.ndarray, first: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Whether PRE_TOKEN starts a match at each of the plain characters `codes`; `first` marks the first ones of texts."""
+    kind = classes[codes]
+    start = first.copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    # The last white space before something else is cut off, and a space goes with what follows.
+    last = (kind[:-1] == 3) & (kind[1:] != 3) & ~first[1:]
+    start[:-1] |= last
+    start[1:] &= ~(last & (codes[:-1] == ord(" ")))
+    at = np.flatnonzero((codes == ord("'")) & start)
+    longer = np.concatenate([codes, [0, 0, 0]])
+    inside = ~np.concatenate([first, [True] * 3])
+    one, two = longer[at + 1], longer[at + 2]
+    short = inside[at + 1] & np.isin(one, [ord(c) for c in "sdmt"])
+    double = inside[at + 1] & inside[at + 2] & np.logical_or.reduce([(one == ord(a)) & (two == ord(b)) for a, b in ("ll", "ve", "re")])
+    start[at[short | double] + 1] = False
+    ends = np.concatenate([at[short] + 2, at[double] + 3])
+    start[ends[ends < len(start)]] = True
+    return start
 
 
 def per_worker(key: tuple, make: Callable[[], object]) -> object:
@@ -84,9 +101,9 @@ class Encoder:
         self.pre_token = regex.compile(PRE_TOKEN)
         self.plain = regex.compile(f" [\t\n\r!-{LAST_PLAIN}]+")
         self.plain_text = re.compile(f"[\t\n\r -{LAST_PLAIN}]*")
-        self.plain_pre_token = plain_pre_token()
+        self.classes = plain_classes()
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.numbers: dict[str, int] = defaultdict(count().__next__)
+        self.numbers: dict[str, int] = {}                            # known plain pre-tokens
         self.pool = np.empty(0, self.width)                          # ids of pre-tokens, one after the other
         self.starts, self.sizes, self.seen = (np.empty(0, np.int64) for _ in range(3))   # by number
         self.pieces: dict[str, bytes] = {}
@@ -98,45 +115,39 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def numbered_ids(self, new: list[str]) -> list[np.ndarray]:
-        """Ids of each of the plain pre-tokens `new`. Most go to the library in long strings, whose ids are cut again
-        at tokens with a space in front or at line ends that separate pre-tokens without white space."""
-        kinds = [(1 if t[0] == " " else 2) * (not t[-1].isspace()) for t in new]
-        out: list[np.ndarray] = [None] * len(new)
-        for kind in (1, 2, 0):
-            every = sorted((i for i, k in enumerate(kinds) if k == kind), key=new.__getitem__)   # neighbours share merges
+    def learn_numbers(self, new: list[str]) -> None:
+        """Give the plain pre-tokens `new` the numbers after the known ones. Most go to the library in long strings, whose ids are cut again at tokens with a space in front or at line ends that separate pre-tokens
+        without white space."""
+        kinds: tuple[list[str], ...] = ([], [], [])
+        for t in new:
+            kinds[0 if t[-1].isspace() else 1 if t[0] == " " else 2].append(t)
+        ids, sizes = [self.pool], [self.sizes]
+        for kind, every in enumerate(kinds):
+            every.sort()                                             # neighbours share merges
             for at in range(0, len(every), 64):
                 part = every[at:at + 64]
-                texts = [new[i] for i in part]
                 if kind and (kind == 1 or len(self.newline) == 1):
-                    ids = np.frombuffer(self.whole(["".join(texts) if kind == 1 else "\n".join([*texts, ""])])[0], self.width)
-                    cuts = np.flatnonzero(self.opens[ids] if kind == 1 else ids == self.newline[0])
+                    got = np.frombuffer(self.whole(["".join(part) if kind == 1 else "\n".join([*part, ""])])[0], self.width)
+                    is_cut = self.opens[got] if kind == 1 else got == self.newline[0]
+                    cuts = np.flatnonzero(is_cut)
                     if len(cuts) == len(part):
-                        ends = [*cuts[1:].tolist(), len(ids)] if kind == 1 else cuts.tolist()
-                        begins = cuts.tolist() if kind == 1 else [0, *(cuts[:-1] + 1).tolist()]
-                        for i, a, b in zip(part, begins, ends):
-                            out[i] = ids[a:b]
+                        ids.append(got if kind == 1 else got[~is_cut])
+                        sizes.append(np.diff(cuts, append=len(got)) if kind == 1 else np.diff(cuts, prepend=-1) - 1)
                         continue
-                for i, raw in zip(part, self.whole(texts)):
-                    out[i] = np.frombuffer(raw, self.width)
-        return out
-
-    def learn_numbers(self, new: list[str]) -> None:
-        """Ids of pre-tokens that have just got the numbers after the known ones."""
-        ids = self.numbered_ids(new)
-        sizes = np.array([len(i) for i in ids], np.int64)
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
+                raw = self.whole(part)
+                ids.append(np.frombuffer(b"".join(raw), self.width))
+                sizes.append(np.array([len(r) // self.width.itemsize for r in raw], np.int64))
+        ordered = [t for every in kinds for t in every]
+        self.pool, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
-        self.pool = np.concatenate([self.pool, *ids])
+        self.numbers.update(zip(ordered, range(len(self.numbers), len(self.seen))))
 
     def forget(self) -> None:
         """Keep the more frequent half of the pre-tokens, under new numbers."""
         keep = np.sort(np.argsort(-self.seen, kind="stable")[:KNOWN // 2])
-        names = list(self.numbers)
-        sizes = self.sizes[keep]
-        self.pool = self.gathered(keep)
-        self.numbers = defaultdict(count(len(keep)).__next__, zip((names[i] for i in keep.tolist()), range(len(keep))))
+        names, sizes = list(self.numbers), self.sizes[keep]
+        self.pool, self.numbers = self.gathered(keep), {names[i]: n for n, i in enumerate(keep.tolist())}
         self.starts, self.sizes, self.seen = np.cumsum(sizes) - sizes, sizes, self.seen[keep] // 2
 
     def gathered(self, at: np.ndarray) -> np.ndarray:
@@ -146,15 +157,29 @@ class Encoder:
         return self.pool[np.repeat(self.starts[at] - before, sizes) + np.arange(sizes.sum())]
 
     def encode_numbered(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of texts of plain characters."""
-        found = list(map(self.plain_pre_token.findall, texts))
-        of_text, before = np.array([0, *map(len, found)]).cumsum(), len(self.numbers)
-        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(found)), np.int64, of_text[-1])
-        new = len(self.numbers) - before
+        """Packed ids of texts of plain characters. Pre-tokens lie side by side in the joined texts, of which they are
+        slices; each different one is looked up once."""
+        joined = "".join(texts)
+        if not joined:
+            return [b""] * len(texts)
+        codes = np.frombuffer(joined.encode("utf-16-le"), "<u2")
+        of_text = np.array([0, *map(len, texts)]).cumsum()
+        first = np.zeros(len(codes), bool)
+        first[of_text[of_text < len(codes)]] = True
+        begins, wide = np.flatnonzero(pre_token_starts(codes, first, self.classes)), np.flatnonzero(codes >= 128)
+        places = np.concatenate([begins, [len(codes)]])
+        places = (places + np.searchsorted(wide, places)).astype(np.int32)           # a wide character has two bytes
+        cut = pa.StringArray.from_buffers(len(begins), pa.py_buffer(places), pa.py_buffer(joined.encode())).dictionary_encode()
+        names = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [n for n in names if n not in self.numbers]
         if new:
-            self.learn_numbers(list(islice(reversed(self.numbers), new))[::-1])
-        self.seen += np.bincount(at, minlength=len(self.seen))
+            self.learn_numbers(new)
+        at = np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))
+        of_token = cut.indices.to_numpy()
+        self.seen[at] += np.bincount(of_token, minlength=len(at))
+        at = at[of_token]
         raw = self.gathered(at).tobytes()
+        of_text = np.searchsorted(begins, of_text)
         cuts = (np.concatenate([[0], self.sizes[at].cumsum()])[of_text] * self.width.itemsize).tolist()
         if len(self.numbers) > KNOWN:
             self.forget()

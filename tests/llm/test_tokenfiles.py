@@ -107,3 +107,30 @@ def test_texts_of_many_pieces_are_grouped(reference, monkeypatch):
     texts = [prose(i, 20) for i in range(30)]
     assert [list(np.frombuffer(raw, own.width)) for raw in own.encode(texts)] == [reference(t) for t in texts]
     assert len(asked) > 3 and max(asked) < 300 + 2 * max(map(len, texts))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("  \n\t\x85\xa0''sdmtlvrexLéɏ1²½.,!\x7f")), min_size=1, max_size=5))
+def test_plain_texts_are_cut_as_by_the_pattern(texts):
+    import regex
+    joined = "".join(texts)
+    first, want = np.zeros(len(joined), bool), np.zeros(len(joined), bool)
+    for i, text in enumerate(texts):
+        at = len("".join(texts[:i]))
+        first[at:at + 1] = True
+        want[[at + m.start() for m in regex.finditer(tf.PRE_TOKEN, text)]] = True
+    got = tf.pre_token_starts(np.frombuffer(joined.encode("utf-16-le"), "<u2"), first, tf.plain_classes())
+    assert got.tolist() == want.tolist()
+
+
+def test_a_pre_token_is_looked_up_once_for_a_group_of_texts(reference):
+    own, asked = tf.Encoder(tf.vocabulary()), []
+
+    class Counting(dict):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+    own.numbers = Counting()
+    texts = [prose(i % 3, 40) + " don't we'll 12½ Ünd  so\n\n" for i in range(60)]
+    assert [list(np.frombuffer(raw, own.width)) for raw in own.encode(texts)] == [reference(t) for t in texts]
+    assert asked and len(asked) == len(set(asked))
