@@ -115,3 +115,13 @@ def test_bits_are_kept_only_for_lines_that_share_a_bucket(spark, docs, monkeypat
     rows = [(i, f"{i} " + prose(f"alone{i}", 30)) for i in range(20)] + [(100 + i, prose("two", 30) + "!" * i) for i in range(2)]
     assert {k: (r["first_doc_id"], r["first_line_no"]) for k, r in lines(linededup.fuzzy_lines(docs(rows))).items()} == brute(rows)
     assert asked and all(2 <= texts.count() < 10 for texts in asked)
+
+
+def test_shuffle_files_go_with_each_step(spark, docs, monkeypatch):
+    key, seen, alike = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], linededup.alike
+    monkeypatch.setattr(linededup, "alike", lambda *a: seen.append(spark.conf.get(key)) or alike(*a))
+    before, rows = spark.conf.get(key), corpus()[:12]
+    out = linededup.fuzzy_lines(docs(rows))
+    assert seen and set(seen) == {"true"} and spark.conf.get(key) == before
+    for _ in range(2):                                               # the result can be asked for again
+        assert {k: (r["first_doc_id"], r["first_line_no"]) for k, r in lines(out).items()} == brute(rows)
